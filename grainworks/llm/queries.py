@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from grainworks.llm.frames import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainworks.llm.substring import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainworks.llm.quality import measure
 
