@@ -13,6 +13,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainworks.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainworks.llm.minhash import groups
 
@@ -25,6 +31,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grainworks.llm.embeddings import groups
+
+    return groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grainworks.llm.quality import measure
 
@@ -66,6 +78,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from grainworks.llm import chat
+    from grainworks.llm import chat, embeddings
 
-    return {"op7_chat_formatting": chat.SQL}
+    return {"op5_embedding_near_dedup": embeddings.SQL, "op7_chat_formatting": chat.SQL}
