@@ -7,10 +7,12 @@
 2. *Inverted lists.*  The KEYS smallest retained hashes of each class are keys of lists.  Two classes at the
    threshold share none of them with a probability of about 0.15 ** 12.  Members of a list are first
    compared with its smallest member only: a group of near copies links up with one pair a member.
-3. *The rest.*  A list that still spans several components (texts that share a passage and little else, or
-   chains of copies) is compared in full, in numpy, without emitting pairs below the estimate.  Lists over
-   LIST members are first keyed again by two and then three shared hashes, which keeps similar texts
-   together and parts those that only share a passage; what remains larger is compared block by block.
+3. *The rest.*  Hashes of a passage that very many texts share make long lists of otherwise different texts.
+   Such hot hashes (lists over HOT) are replaced in every sketch by its next ones, so that similar texts
+   still meet in KEYS short lists; only texts whose sketch runs out of others meet under hot ones, among
+   themselves.  A list that spans several components (texts that share a phrase, or chains of copies) is
+   compared in full, in numpy, without emitting pairs below the estimate; a list over LIST members is cut
+   into blocks, and each pair of blocks is compared once.
 4. *Estimate, then verify.*  The union sketch (the smallest hashes of both sketches together) estimates the
    Jaccard similarity; pairs five standard deviations below the threshold go, the others are confirmed on
    the full sets.  Links make components, and the smallest id of a component stays.
@@ -34,8 +36,8 @@ from grainworks.llm.graph import components
 from grainworks.llm.text import Words, bytes_of, chained, lower, mix, slices
 
 SHINGLE, PERCENT = 5, 85
-SKETCH, KEYS, LIST = 64, 12, 512
-_PAD = np.uint64(1 << 40)
+SKETCH, KEYS, HOT, LIST = 64, 12, 128, 512
+_PAD = np.uint64((1 << 64) - 1)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,24 +60,27 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, n, digest, sketch): sketches ascend as unsigned numbers."""
+
     def run(part):
         values, bounds = shingle_sets(*bytes_of(part.column(1)))
-        n, digest, sketch, keys = np.diff(bounds), [], [], []
-        tops = (values >> np.uint64(32)).astype("<u4")
+        n, digest = np.diff(bounds), []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             digest.append(xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None)
-            sketch.append(tops[a : min(b, a + SKETCH)].tobytes())
-            keys.append(values[a : min(b, a + KEYS)].view(np.int64))
-        return [part.column(0), n, digest, sketch, keys]
+        low = np.arange(len(values)) - np.repeat(bounds[:-1], n) < SKETCH
+        ends = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))])
+        return [part.column(0), n, digest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[low].view(np.int64)))]
 
     slim = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    return map_slices(slim, "text", run, "id long, n long, digest binary, sketch binary, keys array<long>")
+    return map_slices(slim, "text", run, "id long, n long, digest binary, sketch array<long>")
 
 
-def _matrix(sketch: list[bytes]) -> np.ndarray:
-    """Sketches as rows of SKETCH values, padded."""
-    flat = np.frombuffer(b"".join(sketch), "<u4").astype(np.uint64)
-    size = np.array([len(s) // 4 for s in sketch], np.int64)
+def _matrix(sketch: pa.Array) -> np.ndarray:
+    """A list column as rows of SKETCH values, padded."""
+    if isinstance(sketch, pa.ChunkedArray):
+        sketch = sketch.combine_chunks()
+    flat = np.asarray(sketch.flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+    size = sketch.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     out = np.full((len(sketch), SKETCH), _PAD, np.uint64)
     out[np.repeat(np.arange(len(sketch)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
@@ -110,7 +115,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            good = estimates(_matrix(batch.column(2).to_pylist()), _matrix(batch.column(3).to_pylist())) >= floor if batch.num_rows else np.zeros(0, bool)
+            good = estimates(_matrix(batch.column(2)), _matrix(batch.column(3))) >= floor if batch.num_rows else np.zeros(0, bool)
             yield batch.select([0, 1]).filter(pa.array(good))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
@@ -146,7 +151,7 @@ def _compare(percent: int):
         rep, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
         order = np.argsort(n, kind="stable")
         rep, n, comp = rep[order], n[order], comp[order]
-        rows = _matrix([s for s in table.column("sketch").to_pylist()])[order]
+        rows = _matrix(table.column("sketch"))[order]
         a, b = [], []
         for i in range(len(rep) - 1):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
@@ -160,43 +165,41 @@ def _compare(percent: int):
     return run
 
 
-def _remaining(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components among the members (key, rep, n, comp, keys, used) of each list."""
-    spark, found = lists.sparkSession, None
-    for depth in (1, 2, 3):
-        stats = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where(f"c0 < c1 and size > {2 if depth == 1 else 1}").select("key", "size")
-        held = cut(lists.join(stats, "key"))
-        small = held.where(f"size <= {LIST}").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "rep", "n", "comp")
-        large = held.where(f"size > {LIST}")
-        some = not large.isEmpty()
-        if some and depth == 3:  # blocks of about LIST / 2 members, each pair of blocks compared once
-            blocks = large.withColumn("blocks", F.ceil(2 * F.col("size") / LIST).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-            dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            small = small.unionByName(dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "comp"))
-        made = small.join(classes.select("rep", "sketch"), "rep").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-        found = made if found is None else found.unionByName(made)
-        if not some or depth == 3:
-            break
-        step = large.select(F.explode(F.array_except("keys", "used")).alias("w"), "key", "rep", "n", "comp", "keys", "used")
-        lists = step.select(F.xxhash64(F.array_sort(F.concat("used", F.array("w")))).alias("key"), "rep", "n", "comp", "keys", F.array_sort(F.concat("used", F.array("w"))).alias("used")).distinct()
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _remaining(placed: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components; ``placed``: (rep, n, comp, sketch)."""
+    lowest = placed.select("rep", "n", "comp", "sketch", F.slice("sketch", 1, KEYS).alias("keys"))
+    hot = cut(lowest.select(F.explode("keys").alias("key")).groupBy("key").count().where(f"count > {HOT}").select("key"))
+    warm = lowest.select("rep", F.explode("keys").alias("key")).join(hot, "key").groupBy("rep").agg(F.collect_list("key").alias("hot_keys"))
+    warm = lowest.select("rep", "sketch").join(warm, "rep")
+    cold = warm.select("rep", F.posexplode("sketch").alias("at", "key")).join(hot, "key", "left_anti").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, KEYS).alias("cold"))
+    changed = cut(warm.select("rep", "hot_keys").join(cold, "rep", "left").select(F.col("rep").alias("r"), "hot_keys", F.coalesce(F.col("cold.key"), F.array().cast("array<long>")).alias("cold")))
+    both = lowest.join(changed, lowest["rep"] == changed["r"], "left")
+    keys = F.transform(F.coalesce("cold", "keys"), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("key")))
+    more = F.transform(F.when(F.size("cold") < KEYS, F.col("hot_keys")), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("key")))
+    lists = both.select(F.explode(F.concat(keys, F.coalesce(more, F.array().cast("array<struct<kind:int,key:long>>")))).alias("l"), "rep", "n", "comp").select("l.kind", "l.key", "rep", "n", "comp")
+    stats = cut(lists.groupBy("kind", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("kind", "key", "size"))
+    blocks = lists.join(stats, ["kind", "key"]).withColumn("blocks", F.when(F.col("size") <= LIST, 1).otherwise(F.ceil(2 * F.col("size") / LIST)).cast("int"))
+    blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = blocks.select("kind", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "comp")
+    made = dealt.join(placed.select("rep", "sketch"), "rep").groupBy("kind", "key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``."""
     drawn = cut(sketches(docs, text, key))
-    classes = cut(drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-    lists = classes.select(F.explode("keys").alias("key"), "rep", "n", "keys")
-    first = lists.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b"))
+    classes = cut(drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    lists = classes.select(F.explode(F.slice("sketch", 1, KEYS)).alias("key"), "rep", "n")
+    # written first, so that the join reads both sides from plain shuffles and Spark may split its skewed partitions
+    first = cut(lists.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b")))
     slim = lists.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"))
     pairs = slim.join(first, "key").where("a > b").where(_sized(percent)).select("a", "b").distinct()
     # one text an id: a class representative's
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     links = cut(verified(_estimated(pairs, classes, percent), texts, percent))
     near = components(links)
-    placed = classes.select("rep", "n", "keys").join(near, F.col("rep") == F.col("id"), "left").select("rep", "n", "keys", F.coalesce("component", "rep").alias("comp"))
-    rest = _remaining(placed.select(F.explode("keys").alias("key"), "rep", "n", "comp", "keys").withColumn("used", F.array("key")), classes, percent)
-    more = cut(verified(rest, texts, percent))
+    placed = cut(classes.select("rep", "n", "sketch").join(near, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), "sketch"))
+    more = cut(verified(cut(_remaining(placed, percent)), texts, percent))
     if not more.isEmpty():
         near = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("digest", "rep").join(near, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))

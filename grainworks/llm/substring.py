@@ -266,7 +266,8 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int =
     rows = found.where("digest is null").select("id", "start", "stop")
     if hot.any():
         windows = found.where("digest is not null").select("id", "start", "digest")
-        firsts = windows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low")
+        # written first, so that the join below reads both sides from plain shuffles and Spark may split its skewed partitions
+        firsts = cut(windows.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low"))
         warm = windows.join(firsts, "digest").where("id > low").select("id", "start", (F.col("start") + k).alias("stop"))
         rows = rows.unionByName(warm)
     return rows.groupBy("id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
