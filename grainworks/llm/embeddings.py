@@ -161,7 +161,7 @@ def _links(classes: DataFrame, cosine: float, r: float) -> DataFrame:
 #: all pairs, for small tables
 SQL = """
 WITH RECURSIVE e AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
 ), reach(id, other) AS (

@@ -78,6 +78,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from grainworks.llm import chat, embeddings
-
-    return {"op5_embedding_near_dedup": embeddings.SQL, "op7_chat_formatting": chat.SQL}
+    from grainworks.llm import chat, embeddings, oracles, quality
+
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING,
+        "op3_minhash_near_dedup": oracles.NEAR,
+        "op5_embedding_near_dedup": embeddings.SQL,
+        "op6_quality_rules": oracles.quality(quality.LIMITS, quality.LINE_LIMIT),
+        "op7_chat_formatting": chat.SQL,
+    }
