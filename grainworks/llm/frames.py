@@ -19,10 +19,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and reread, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, batch: str | None = None) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and reread, so that a lost executor costs no recomputation.
+
+    ``batch`` bounds the bytes of an Arrow batch while it is made, for stages whose rows are wide.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    shared_folder(spark)
+    before = spark.conf.get(name)
+    try:
+        if batch:
+            spark.conf.set(name, batch)
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def plan_bytes(df: DataFrame) -> int:

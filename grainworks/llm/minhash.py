@@ -36,8 +36,11 @@ from grainworks.llm.graph import components
 from grainworks.llm.text import Words, bytes_of, chained, lower, mix, slices
 
 SHINGLE, PERCENT = 5, 85
-SKETCH, KEYS, HOT, LIST = 64, 12, 128, 512
-_PAD = np.uint64((1 << 64) - 1)
+#: values of a sketch (their upper 32 bits), those of them kept whole as possible keys, keys of a text
+SKETCH, LOW, KEYS = 128, 24, 12
+#: members of a list whose key is replaced; members that one task compares
+HOT, LIST = 128, 512
+_PAD = np.uint32(0xFFFFFFFF)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,42 +63,57 @@ def shingle_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """(id, n, digest, sketch): sketches ascend as unsigned numbers."""
+    """(id, n, digest, sketch, low): the SKETCH smallest hashes shortened to 32 bits, the LOW smallest in full; ascending as unsigned numbers."""
 
     def run(part):
         values, bounds = shingle_sets(*bytes_of(part.column(1)))
-        n, digest = np.diff(bounds), []
+        n, digest, sketch = np.diff(bounds), [], []
+        tops = (values >> np.uint64(32)).astype("<u4")
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             digest.append(xxhash.xxh3_128_digest(values[a:b].tobytes()) if b > a else None)
-        low = np.arange(len(values)) - np.repeat(bounds[:-1], n) < SKETCH
-        ends = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))])
-        return [part.column(0), n, digest, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[low].view(np.int64)))]
+            sketch.append(tops[a : min(b, a + SKETCH)].tobytes())
+        low = np.arange(len(values)) - np.repeat(bounds[:-1], n) < LOW
+        ends = np.concatenate([[0], np.cumsum(np.minimum(n, LOW))])
+        return [part.column(0), n, digest, sketch, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values[low].view(np.int64)))]
 
     slim = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    return map_slices(slim, "text", run, "id long, n long, digest binary, sketch array<long>")
+    return map_slices(slim, "text", run, "id long, n long, digest binary, sketch binary, low array<long>")
 
 
-def _matrix(sketch: pa.Array) -> np.ndarray:
-    """A list column as rows of SKETCH values, padded."""
-    if isinstance(sketch, pa.ChunkedArray):
-        sketch = sketch.combine_chunks()
-    flat = np.asarray(sketch.flatten().to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-    size = sketch.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.full((len(sketch), SKETCH), _PAD, np.uint64)
-    out[np.repeat(np.arange(len(sketch)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+def _filled(flat: np.ndarray, size: np.ndarray, width: int, pad) -> np.ndarray:
+    out = np.full((len(size), width), pad, flat.dtype)
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
 
 
+def _matrix(sketch: list[bytes]) -> np.ndarray:
+    """Sketches as rows of SKETCH values, padded."""
+    size = np.array([len(s) // 4 for s in sketch], np.int64)
+    return _filled(np.frombuffer(b"".join(sketch), "<u4").astype(np.uint32), size, SKETCH, _PAD)
+
+
 def estimates(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of each row of ``x`` with that of ``y``, from the SKETCH smallest values of both together."""
-    both = np.sort(np.concatenate([x, y], axis=1), axis=1)
-    real = both < _PAD
-    twice = np.zeros(both.shape, bool)
-    twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    rank = np.cumsum(real & ~twice, axis=1)
-    # a sketch that is not full is the whole set, so the union's smallest values are known as far as a full one reaches
-    within = rank <= SKETCH
-    return (twice & within).sum(1) / np.maximum(1, np.minimum(rank[:, -1], SKETCH))
+    """Jaccard similarity of each row of ``x`` with that of ``y`` (or of one row with all): shares of the union sketch.
+
+    Both sketches are complete up to the smaller of their largest values, so every hash up to there is known on both
+    sides; a sketch that is not full is the whole set.
+    """
+    x = np.broadcast_to(x, y.shape)
+    reach = np.minimum(x[:, -1], y[:, -1])[:, None]  # the pad, if neither is full
+    in_x, in_y = ((z <= reach) & (z < _PAD) for z in (x, y))
+    both = np.sort(np.concatenate([np.where(in_x, x, _PAD), np.where(in_y, y, _PAD)], axis=1), axis=1)
+    shared = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] < _PAD)).sum(1)
+    return shared / np.maximum(1, in_x.sum(1) + in_y.sum(1) - shared)
+
+
+def estimates_with(row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``estimates`` of one row with all rows of ``y``, by looking the values up in it."""
+    reach = np.minimum(row[-1], y[:, -1])[:, None]
+    at = np.minimum(np.searchsorted(row, y), len(row) - 1)
+    known = (y <= reach) & (y < _PAD)
+    shared = ((row[at] == y) & known).sum(1)
+    mine = np.searchsorted(row, reach[:, 0], "right") - np.where(reach[:, 0] == _PAD, (row == _PAD).sum(), 0)
+    return shared / np.maximum(1, mine + known.sum(1) - shared)
 
 
 def least_estimate(percent: int) -> float:
@@ -115,7 +133,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            good = estimates(_matrix(batch.column(2)), _matrix(batch.column(3))) >= floor if batch.num_rows else np.zeros(0, bool)
+            good = estimates(_matrix(batch.column(2).to_pylist()), _matrix(batch.column(3).to_pylist())) >= floor if batch.num_rows else np.zeros(0, bool)
             yield batch.select([0, 1]).filter(pa.array(good))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
@@ -144,62 +162,77 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _compare(percent: int):
-    """All pairs of one list (or of one pair of blocks) in different components that the union sketches do not rule out."""
+    """Pairs of one list (or of two of its blocks) in different components that the union sketches do not rule out.
+
+    A pair that meets in several lists is compared in that of its smallest shared key only.
+    """
     floor = least_estimate(percent)
+    most = np.iinfo(np.int64).max
 
     def run(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         rep, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
         order = np.argsort(n, kind="stable")
         rep, n, comp = rep[order], n[order], comp[order]
-        rows = _matrix(table.column("sketch"))[order]
+        rows = _matrix(table.column("sketch").to_pylist())[order]
+        keys = table.column("keys").combine_chunks()
+        size = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = _filled(keys.flatten().to_numpy(zero_copy_only=False), size, int(size.max()), most)[order]
+        key = table.column("key")[0].as_py()
         a, b = [], []
         for i in range(len(rep) - 1):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
             j = j[comp[j] != comp[i]]
             if len(j):
-                j = j[estimates(np.broadcast_to(rows[i], (len(j), SKETCH)), rows[j]) >= floor]
-                a += [rep[i]] * len(j)
-                b += rep[j].tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                own = np.sort(keys[i])
+                at = np.minimum(np.searchsorted(own, keys[j]), len(own) - 1)
+                j = j[np.where(own[at] == keys[j], keys[j], most).min(1) == key]
+            if len(j):
+                j = j[estimates_with(rows[i], rows[j]) >= floor]
+                a.append(np.full(len(j), rep[i]))
+                b.append(rep[j])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
 
-def _remaining(placed: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components; ``placed``: (rep, n, comp, sketch)."""
-    lowest = placed.select("rep", "n", "comp", "sketch", F.slice("sketch", 1, KEYS).alias("keys"))
+def _remaining(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) in different components; ``placed``: (rep, n, comp, low)."""
+    lowest = placed.withColumn("keys", F.slice("low", 1, KEYS))
     hot = cut(lowest.select(F.explode("keys").alias("key")).groupBy("key").count().where(f"count > {HOT}").select("key"))
-    warm = lowest.select("rep", F.explode("keys").alias("key")).join(hot, "key").groupBy("rep").agg(F.collect_list("key").alias("hot_keys"))
-    warm = lowest.select("rep", "sketch").join(warm, "rep")
-    cold = warm.select("rep", F.posexplode("sketch").alias("at", "key")).join(hot, "key", "left_anti").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, KEYS).alias("cold"))
-    changed = cut(warm.select("rep", "hot_keys").join(cold, "rep", "left").select(F.col("rep").alias("r"), "hot_keys", F.coalesce(F.col("cold.key"), F.array().cast("array<long>")).alias("cold")))
-    both = lowest.join(changed, lowest["rep"] == changed["r"], "left")
-    keys = F.transform(F.coalesce("cold", "keys"), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("key")))
-    more = F.transform(F.when(F.size("cold") < KEYS, F.col("hot_keys")), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("key")))
-    lists = both.select(F.explode(F.concat(keys, F.coalesce(more, F.array().cast("array<struct<kind:int,key:long>>")))).alias("l"), "rep", "n", "comp").select("l.kind", "l.key", "rep", "n", "comp")
-    stats = cut(lists.groupBy("kind", "key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("kind", "key", "size"))
-    blocks = lists.join(stats, ["kind", "key"]).withColumn("blocks", F.when(F.col("size") <= LIST, 1).otherwise(F.ceil(2 * F.col("size") / LIST)).cast("int"))
+    met = lowest.select("rep", F.explode("keys").alias("key")).join(hot, "key").groupBy("rep").agg(F.collect_list("key").alias("hot_keys"))
+    warm = placed.select("rep", "low").join(met, "rep")
+    cold = warm.select("rep", F.posexplode("low").alias("at", "key")).join(hot, "key", "left_anti").groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "key"))), 1, KEYS).alias("cold"))
+    none = F.array().cast("array<long>")
+    own = F.coalesce(F.col("cold.key"), none)
+    changed = cut(warm.select("rep", "hot_keys").join(cold, "rep", "left").select(F.col("rep").alias("r"), F.concat(own, F.when(F.size(own) < KEYS, F.col("hot_keys")).otherwise(none)).alias("new")))
+    both = lowest.join(changed, lowest["rep"] == changed["r"], "left").select("rep", "n", "comp", F.coalesce("new", "keys").alias("keys"))
+    lists = both.select(F.explode("keys").alias("key"), "rep", "n", "comp", "keys")
+    stats = cut(lists.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "size"))
+    blocks = lists.join(stats, "key").withColumn("blocks", F.when(F.col("size") <= LIST, 1).otherwise(F.ceil(2 * F.col("size") / LIST)).cast("int"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = blocks.select("kind", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "comp")
-    made = dealt.join(placed.select("rep", "sketch"), "rep").groupBy("kind", "key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    dealt = blocks.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "comp", "keys")
+    made = dealt.join(classes.select("rep", "sketch"), "rep").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
+    return made.distinct()  # two blocks of a list share the pairs within each
 
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``."""
     drawn = cut(sketches(docs, text, key))
-    classes = cut(drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    lists = classes.select(F.explode(F.slice("sketch", 1, KEYS)).alias("key"), "rep", "n")
+    classes = cut(drawn.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("low").alias("low")))
+    lists = classes.select(F.explode(F.slice("low", 1, KEYS)).alias("key"), "rep", "n")
     # written first, so that the join reads both sides from plain shuffles and Spark may split its skewed partitions
     first = cut(lists.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.rep").alias("b"), F.col("p.n").alias("n_b")))
     slim = lists.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"))
     pairs = slim.join(first, "key").where("a > b").where(_sized(percent)).select("a", "b").distinct()
     # one text an id: a class representative's
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    links = cut(verified(_estimated(pairs, classes, percent), texts, percent))
+    links = cut(verified(_estimated(pairs, classes, percent), texts, percent), "8m")
     near = components(links)
-    placed = cut(classes.select("rep", "n", "sketch").join(near, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), "sketch"))
-    more = cut(verified(cut(_remaining(placed, percent)), texts, percent))
+    placed = cut(classes.select("rep", "n", "low").join(near, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), "low"))
+    more = cut(verified(cut(_remaining(placed, classes, percent)), texts, percent), "8m")
     if not more.isEmpty():
         near = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("digest", "rep").join(near, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
