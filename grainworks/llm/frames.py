@@ -35,16 +35,18 @@ def cut(df: DataFrame, batch: str | None = None) -> DataFrame:
         spark.conf.set(name, before)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate (for files: their size), used only to choose how many partitions to make."""
+def input_bytes(df: DataFrame, column: str) -> int:
+    """The size of the input, used only to choose how many partitions to make: of files their size, else the text's."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(size, 1 << 60)
+    if size >= 1 << 50:  # the optimizer does not know
+        size = df.selectExpr(f"coalesce(sum(octet_length(`{column}`)), 0) AS n").first()["n"] // 2
+    return size
 
 
-def parts(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
+def parts(df: DataFrame, column: str, bytes_each: int) -> int:
     """Partitions for ``df`` so that each holds about ``bytes_each`` of its (compressed) input."""
-    least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, -(-plan_bytes(df) // bytes_each)))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(1 << 20, -(-input_bytes(df, column) // bytes_each)))
 
 
 def map_slices(df: DataFrame, column: str, fn, schema: str) -> DataFrame:

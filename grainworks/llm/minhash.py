@@ -40,6 +40,8 @@ SHINGLE, PERCENT = 5, 85
 SKETCH, LOW, KEYS = 128, 24, 12
 #: members of a list whose key is replaced; members that one task compares
 HOT, LIST = 128, 512
+#: ids that are sent to every task: 16 MB of a hash table at most
+SENT_IDS = 500_000
 _PAD = np.uint32(0xFFFFFFFF)
 
 
@@ -140,7 +142,13 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``texts``: (id, text), one row an id."""
+    """The pairs (a, b) whose full sets are similar enough; ``texts``: (id, text), one row an id; ``pairs`` are written already.
+
+    Only texts that are in a pair are shuffled: up to SENT_IDS ids their list goes to the scan, else they meet in a join.
+    """
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    if ids.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -229,7 +237,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: in
     pairs = slim.join(first, "key").where("a > b").where(_sized(percent)).select("a", "b").distinct()
     # one text an id: a class representative's
     texts = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
-    links = cut(verified(_estimated(pairs, classes, percent), texts, percent), "8m")
+    links = cut(verified(cut(_estimated(pairs, classes, percent)), texts, percent), "8m")
     near = components(links)
     placed = cut(classes.select("rep", "n", "low").join(near, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), "low"))
     more = cut(verified(cut(_remaining(placed, classes, percent)), texts, percent), "8m")

@@ -258,7 +258,7 @@ def _out(doc, start, stop, digest) -> pa.RecordBatch:
 def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, m: int = M) -> DataFrame:
     """(id, ranges): the word ranges to remove from each document that loses any."""
     slim = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).where("id is not null")
-    buckets = parts(docs, BUCKET_BYTES)
+    buckets = parts(docs, text, BUCKET_BYTES)
     bits = max(SLOT_BITS, (64 * buckets - 1).bit_length())
     hot = _heat(slim, buckets, bits, k, m)
     sent = slim.mapInArrow(_scatter(hot, buckets, k, m), "bucket int, block binary").repartitionById(buckets, "bucket")
