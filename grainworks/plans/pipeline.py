@@ -5,6 +5,8 @@ from __future__ import annotations
 import difflib
 import os
 import re
+import shutil
+import tempfile
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -93,7 +95,18 @@ def read(spark: SparkSession, path: str, fmt: str | None = None, options: dict |
     """The tables and the report of one file."""
     fmt = fmt or detect(path, spark)[0]
     reader = READERS.get(fmt) or _builtin(fmt)
-    return reader(spark, path, os.path.basename(path), Options(options or {}), resolver)
+    return reader(spark, _visible(spark, path), os.path.basename(path), Options(options or {}), resolver)
+
+
+def _visible(spark: SparkSession, path: str) -> str:
+    """Spark's readers skip names that start with a dot or an underscore: such a file is read from a copy."""
+    local, name = path.removeprefix("file:"), os.path.basename(path)
+    if name[:1] not in (".", "_") or not os.path.isfile(local):
+        return path
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file:")
+    to = os.path.join(tempfile.mkdtemp(prefix="hidden-", dir=base if os.path.isdir(base) else None), f"x{name}")
+    shutil.copyfile(local, to)
+    return to
 
 
 @dataclass
@@ -158,8 +171,6 @@ def preview(table, path: str, kind: str) -> str:
     """What a write would change: nothing, a line diff, or the first lines of a new file."""
     if kind == "parquet":
         return f"{path}: parquet output has no text preview"
-    import tempfile
-
     with tempfile.TemporaryDirectory() as d:
         sinks.write(table, f"{d}/new", kind)
         with open(f"{d}/new", encoding="utf-8") as f:
