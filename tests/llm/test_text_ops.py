@@ -244,7 +244,7 @@ def test_secrets_are_masked(spark):
 
     out = {r.doc_id: r.text for r in redact(spark.createDataFrame(list(enumerate(SECRETS)), "doc_id long, text string")).collect()}
     assert out[0] is None and out[1] == "" and out[2] == f"{MASK}\" and token=abc" and "hunter22" not in out[2]
-    assert out[9] == SECRETS[9]
+    assert out[8] == SECRETS[8] and out[9] == MASK  # a long run of one hex digit is a base match all the same
 
 
 def test_entropy_by_incremental_counts():
