@@ -141,14 +141,15 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``texts``: (id, text), one row an id; ``pairs`` are written already.
+def _some(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts with a wanted id: up to SENT_IDS ids their list goes to the scan, so that no other text is shuffled."""
+    ids = cut(wanted.distinct())
+    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= SENT_IDS else texts.join(ids, "id", "left_semi")
 
-    Only texts that are in a pair are shuffled: up to SENT_IDS ids their list goes to the scan, else they meet in a join.
-    """
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    if ids.count() <= SENT_IDS:
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``texts``: (id, text), one row an id; ``pairs`` are written already."""
+    texts = _some(texts, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
 
     def run(batches):
         for batch in batches:
@@ -169,45 +170,61 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
-def _compare(percent: int):
-    """Pairs of one list (or of two of its blocks) in different components that the union sketches do not rule out.
+_MEMBER = "key long, i int, j int, rep long, n long, comp long, keys array<long>, sketch binary"
+
+
+def _compare(percent: int, exact: bool):
+    """Over the members of one list (or of two of its blocks): those with a partner, or the links themselves.
 
-    A pair that meets in several lists is compared in that of its smallest shared key only.
+    Partners are in different components, of similar size, and not ruled out by the union sketches; a pair that meets in
+    several lists is compared in that of its smallest shared key only.  With ``exact`` the members carry their texts
+    (``t``), pairs are confirmed on the full sets, and links (a, b) that join what earlier ones have not are returned: fewer
+    than members, however dense the list is.
     """
     floor = least_estimate(percent)
     most = np.iinfo(np.int64).max
 
     def run(table: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        table = table.take(pa.array(np.argsort(table.column("n").to_numpy(), kind="stable")))
         rep, n, comp = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
-        order = np.argsort(n, kind="stable")
-        rep, n, comp = rep[order], n[order], comp[order]
-        rows = _matrix(table.column("sketch").to_pylist())[order]
-        keys = table.column("keys").combine_chunks()
-        size = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        keys = _filled(keys.flatten().to_numpy(zero_copy_only=False), size, int(size.max()), most)[order]
-        key = table.column("key")[0].as_py()
-        a, b = [], []
+        a, b, touched = [], [], np.zeros(len(rep), bool)
+        if len(rep):
+            rows = _matrix(table.column("sketch").to_pylist())
+            keys = table.column("keys").combine_chunks()
+            size = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = _filled(keys.flatten().to_numpy(zero_copy_only=False), size, int(size.max()), most)
+            key, label = table.column("key")[0].as_py(), comp.copy()
+            if exact:
+                values, bounds = shingle_sets(*bytes_of(table.column("t").combine_chunks()))
         for i in range(len(rep) - 1):
             j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
-            j = j[comp[j] != comp[i]]
+            j = j[label[j] != label[i]]
             if len(j):
                 own = np.sort(keys[i])
                 at = np.minimum(np.searchsorted(own, keys[j]), len(own) - 1)
                 j = j[np.where(own[at] == keys[j], keys[j], most).min(1) == key]
             if len(j):
                 j = j[estimates_with(rows[i], rows[j]) >= floor]
-                a.append(np.full(len(j), rep[i]))
-                b.append(rep[j])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if not len(j):
+                continue
+            if not exact:
+                touched[i] = touched[j] = True
+                continue
+            mine = values[bounds[i] : bounds[i + 1]]
+            for k in j.tolist():
+                if label[k] != label[i]:
+                    shared = len(np.intersect1d(mine, values[bounds[k] : bounds[k + 1]], assume_unique=True))
+                    if 100 * shared >= percent * (n[i] + n[k] - shared):
+                        a.append(min(rep[i], rep[k]))
+                        b.append(max(rep[i], rep[k]))
+                        label[label == label[k]] = label[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}) if exact else table.filter(pa.array(touched))
 
     return run
 
 
-def _remaining(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) in different components; ``placed``: (rep, n, comp, low)."""
+def _remaining(placed: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components; ``placed``: (rep, n, comp, low)."""
     lowest = placed.withColumn("keys", F.slice("low", 1, KEYS))
     hot = cut(lowest.select(F.explode("keys").alias("key")).groupBy("key").count().where(f"count > {HOT}").select("key"))
     met = lowest.select("rep", F.explode("keys").alias("key")).join(hot, "key").groupBy("rep").agg(F.collect_list("key").alias("hot_keys"))
@@ -222,8 +239,10 @@ def _remaining(placed: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     blocks = lists.join(stats, "key").withColumn("blocks", F.when(F.col("size") <= LIST, 1).otherwise(F.ceil(2 * F.col("size") / LIST)).cast("int"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = blocks.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "comp", "keys")
-    made = dealt.join(classes.select("rep", "sketch"), "rep").groupBy("key", "i", "j").applyInArrow(_compare(percent), "a long, b long")
-    return made.distinct()  # two blocks of a list share the pairs within each
+    members = dealt.join(classes.select("rep", "sketch"), "rep").select("key", "i", "j", "rep", "n", "comp", "keys", "sketch")
+    partners = cut(members.groupBy("key", "i", "j").applyInArrow(_compare(percent, False), _MEMBER))
+    told = partners.join(_some(texts, partners.select(F.col("rep").alias("id"))), partners["rep"] == F.col("id")).drop("id").withColumnRenamed("text", "t")
+    return told.groupBy("key", "i", "j").applyInArrow(_compare(percent, True), "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -240,7 +259,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: in
     links = cut(verified(cut(_estimated(pairs, classes, percent)), texts, percent), "8m")
     near = components(links)
     placed = cut(classes.select("rep", "n", "low").join(near, F.col("rep") == F.col("id"), "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), "low"))
-    more = cut(verified(cut(_remaining(placed, classes, percent)), texts, percent), "8m")
+    more = cut(_remaining(placed, classes, texts, percent), "8m")
     if not more.isEmpty():
         near = components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = classes.select("digest", "rep").join(near, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
