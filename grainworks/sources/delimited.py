@@ -36,14 +36,13 @@ def tokens(line: Column, delimiter: str) -> Column:
     return F.when(line.contains('"'), F.transform(found, unquote)).otherwise(plain)
 
 
-def sample_lines(df: DataFrame, n: int = 30) -> list[str]:
-    """Up to ``n`` non-blank lines: all, or the first and the last ones."""
-    some = nonblank(df, "value")
-    head = [r[0] for r in some.limit(n + 1).collect()]
+def sample_lines(df: DataFrame, head: list[str], n: int = 30) -> list[str]:
+    """Up to ``n`` non-blank lines: all, or the first and the last ones; ``head``: the first ``n`` + 1 lines that are not empty."""
+    some = [x for x in head if x.strip()]
     if len(head) <= n:
-        return head
+        return some
     first = -(-n // 2)
-    return head[:first] + [r[0] for r in some.tail(n - first)]
+    return some[:first] + [r[0] for r in nonblank(df, "value").tail(n - first)]
 
 
 def chosen_delimiter(options: Options, sample, report: Report) -> str:
@@ -66,14 +65,14 @@ def headers_of(first: list[str], width: int, has_header: bool) -> list[str]:
 def read(spark: SparkSession, path: str, filename: str, options: Options, resolver: Resolver = rules) -> Outcome:
     report = Report(filename, "csv")
     text = lines(spark, path)
-    delimiter = chosen_delimiter(options, lambda: sample_lines(text), report)
-    has_header = options.flag("has_header", True)
     ids = text.withColumn("id", F.monotonically_increasing_id()).where("value <> ''")
-    start = ids.limit(1).collect()
+    start = ids.limit(31).collect()
     if not start:
         raise ParseError("csv", "no rows found")
+    delimiter = chosen_delimiter(options, lambda: sample_lines(text, [r["value"] for r in start]), report)
+    has_header = options.flag("has_header", True)
     rows = ids.withColumn("fields", tokens(F.col("value"), delimiter))
-    first = rows.where(F.col("id") == start[0]["id"]).first()["fields"]
+    first = next(csv.reader([start[0]["value"]], delimiter=delimiter))
     data = rows.where(F.col("id") > start[0]["id"]) if has_header else rows
 
     def profile(width: int):
