@@ -37,9 +37,9 @@ from grainworks.llm.text import Words, bytes_of, chained, lower, mix, slices
 
 SHINGLE, PERCENT = 5, 85
 #: values of a sketch (their upper 32 bits), those of them kept whole as possible keys, keys of a text
-SKETCH, LOW, KEYS = 128, 24, 12
+SKETCH, LOW, KEYS = 128, 64, 12
 #: members of a list whose key is replaced; members that one task compares
-HOT, LIST = 128, 512
+HOT, LIST = 512, 512
 #: ids that are sent to every task: 16 MB of a hash table at most
 SENT_IDS = 500_000
 _PAD = np.uint32(0xFFFFFFFF)
