@@ -13,6 +13,7 @@ from grainworks.functions import cells, sniff
 from grainworks.operators import shape, validate, vote
 from grainworks.plans import sinks
 from grainworks.plans.model import Table
+from grainworks.sources.pdf import JUMP
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -336,16 +337,20 @@ def junk_trim(spark, d):
     return p.where((F.col("row") > head) & (F.col("row") <= tail))
 
 
+_GLYPH_WIDTH = 6.0
 _GLYPH = "SELECT l_orderkey, l_linenumber, l_linenumber * 6.0 + CASE WHEN l_linenumber > 3 THEN (l_partkey % 4) * 6.0 ELSE 0.0 END AS x, chr(CAST(97 + l_suppkey % 26 AS INTEGER)) AS ch FROM lineitem WHERE l_orderkey % 10 = 0"
 
 
 @query(f"""WITH g AS ({_GLYPH}), d AS (SELECT *, x - lag(x) OVER (PARTITION BY l_orderkey ORDER BY x, l_linenumber, ch) AS gap FROM g)
 SELECT l_orderkey, string_agg(concat(CASE WHEN gap - 6.0 > 0.8 * 6.0 THEN repeat(' ', CAST(greatest(1, round((gap - 6.0) / 6.0)) AS INTEGER)) ELSE '' END, ch), '' ORDER BY x, l_linenumber, ch) AS line FROM d GROUP BY l_orderkey""")
 def glyph_row_text(spark, d):
-    g = _t(spark, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", F.expr("l_linenumber * 6.0D + CASE WHEN l_linenumber > 3 THEN (l_partkey % 4) * 6.0D ELSE 0.0D END").alias("x"), F.expr("chr(97 + l_suppkey % 26)").alias("ch"))
-    gap = F.col("x") - F.lag("x").over(Window.partitionBy("l_orderkey").orderBy("x", "l_linenumber", "ch")) - 6.0
-    piece = F.concat(F.when(gap > 0.8 * 6.0, F.repeat(F.lit(" "), F.greatest(F.lit(1), F.round(gap / 6.0).cast("int")))).otherwise(""), F.col("ch"))
-    return g.withColumn("piece", piece).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "l_linenumber", "ch", "piece"))), lambda s: s["piece"]), "").alias("line"))
+    g = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_linenumber * 6.0D + CASE WHEN l_linenumber > 3 THEN (l_partkey % 4) * 6.0D ELSE 0.0D END").alias("x"), F.expr("chr(97 + l_suppkey % 26)").alias("ch"))
+    g = g.withColumn("step", F.col("x") - F.lag("x").over(Window.partitionBy("l_orderkey").orderBy("x", "l_linenumber", "ch")))
+    # the upper median of all steps, as in sources/pdf.py; a glyph is _GLYPH_WIDTH wide
+    unit = g.where("step > 0.01").agg(F.greatest(F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY step DESC)"), F.lit(5.0)), F.lit(0.5)).alias("unit"))
+    gap = F.col("step") - _GLYPH_WIDTH
+    piece = F.concat(F.when(gap > JUMP * F.col("unit"), F.repeat(F.lit(" "), F.greatest(F.lit(1), F.round(gap / F.col("unit")).cast("int")))).otherwise(""), F.col("ch"))
+    return g.join(F.broadcast(unit)).withColumn("piece", piece).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "l_linenumber", "ch", "piece"))), lambda s: s["piece"]), "").alias("line"))
 
 
 # -- validation and sinks -----------------------------------------------------------------------------------------
