@@ -212,9 +212,11 @@ def junk_ratio(spark, d):
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '[ \t\r\f\v]+'), lambda x: x <> '') AS f FROM documents), w AS (SELECT max(len(f)) AS width FROM t)
 SELECT doc_id, CAST(len(f) AS BIGINT) AS tokens, coalesce(f[1], '') AS first, len(f) <> (SELECT width FROM w) AS ragged FROM t""")
 def ws_tokens(spark, d):
-    t = _t(spark, d, "documents").select("doc_id", F.filter(F.split(F.split("text", "\n")[0], r"[ \t\r\f\x0B]+"), lambda x: x != "").alias("f"))
+    """Tokens of every line, blank ones too; the width is the most tokens of any line, and a null text is one row."""
+    lines = _t(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("p", "line"))
+    t = lines.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.filter(F.split("line", r"[ \t\r\f\x0B]+"), lambda x: x != "").alias("f"))
     w = t.agg(F.max(F.size("f")).alias("width"))
-    return t.join(F.broadcast(w)).select("doc_id", F.size("f").cast("long").alias("tokens"), F.coalesce(F.get("f", F.lit(0)), F.lit("")).alias("first"), (F.size("f") != F.col("width")).alias("ragged"))
+    return t.join(F.broadcast(w)).select("doc_id", "pos", F.size("f").cast("long").alias("tokens"), F.coalesce(F.get("f", F.lit(0)), F.lit("")).alias("first"), (F.size("f") != F.col("width")).alias("ragged"))
 
 
 _PADDED = "concat(rpad(CAST(c_custkey AS {s}), 8, ' '), rpad(c_mktsegment, 14, ' '), CAST(c_nationkey AS {s}))"

@@ -22,3 +22,12 @@ def test_glyph_rows_of_every_order_in_median_steps(spark, tmp_path, far):
         orders.setdefault(o, []).append((n * 6.0 + (part % 4 * 6.0 if n > 3 else 0.0), n, chr(97 + supp % 26)))
     want = dict(zip(orders, virtual_lines([[(0, x, 0, 6.0, 1.0, ch) for x, _, ch in sorted(g)] for g in orders.values()])))
     assert {r.l_orderkey: r.line for r in queries.glyph_row_text(spark, d).collect()} == want
+
+
+def test_ws_tokens_of_every_line(spark, tmp_path):
+    texts = ["a b\nc  d e\n\n f", "", "x\r\n\ty z w v u", None, "only"]
+    d = saved(spark, tmp_path, "documents", list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.pos): (r.tokens, r.first, r.ragged) for r in queries.ws_tokens(spark, d).collect()}
+    lines = {(i, k): x.split() for i, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n"), 1)}
+    width = max(map(len, lines.values()))
+    assert got == {at: (len(f), f[0] if f else "", len(f) != width) for at, f in lines.items()} | {(3, None): (None, "", None)}
