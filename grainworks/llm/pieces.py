@@ -3,11 +3,11 @@
 The model file gives pieces and scores.  A text gets a leading space; no piece holds a space after another
 character, so it falls into independent chunks (spaces, then other characters).  Within a chunk the agenda
 takes the best-scored adjacent merge, leftmost first; a candidate is skipped if the keyed hash of (seed,
-variant, chunk, position, merged piece) falls under the dropout rate.  The variant comes from the document's
-id, so documents are segmented in different ways and every run repeats them exactly.
+document id, chunk's place in the document, position, merged piece) falls under the dropout rate.  So every
+occurrence of a word is cut by itself, and every run repeats it exactly.
 
-Chunks are segmented once per slice and variant: the agenda runs over all new chunks of a slice at the same
-time in numpy, one merge of each chunk a round; very long chunks use a heap.  Characters outside the
+The agenda runs over all chunks of a slice at the same time in numpy, one merge of each chunk a round; very
+long chunks use a heap.  Characters outside the
 vocabulary, the visible space character among them, become byte pieces, so decoding is lossless.
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; repeated rows give equal
@@ -23,12 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from grainworks.llm.frames import map_slices
-from grainworks.llm.text import bytes_of, mix, span_hashes
+from grainworks.llm.text import _M1, _M2, bytes_of, mix
 
-DROPOUT, SEED, VARIANTS = 0.1, 20, 4
+DROPOUT, SEED = 0.1, 20
 SPACE = "▁"
 LONG_CHUNK = 256
-CACHED = 1_000_000
+RANGE_BYTES = 1 << 20
+_LOW = (1 << 64) - 1
 _NONE = np.int64(1) << np.int64(62)
 
 
@@ -109,16 +110,25 @@ def _skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float)
     return (h >> np.uint64(11)).astype(np.float64) < rate * float(1 << 53)
 
 
+def _mix_one(x: int) -> int:
+    """``mix`` of one number."""
+    x ^= x >> 30
+    x = x * int(_M1) & _LOW
+    x ^= x >> 27
+    x = x * int(_M2) & _LOW
+    return x ^ x >> 31
+
+
 def agenda(m: Model, symbols: list[int], key: int, rate: float) -> list[int]:
     """One chunk by a heap; unknown characters are negative."""
     left, right = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
     now, heap, ranks = list(symbols), [], m.rank
-    one = lambda x, t: np.array([x], t)
+    least = rate * float(1 << 53)
 
     def push(i: int) -> None:
         j = right[i]
         if j < len(now) and now[i] >= 0 and now[j] >= 0 and (p := m.pairs.get(now[i] << 20 | now[j])) is not None:
-            if not (rate and _skipped(one(key, np.uint64), one(i, np.int64), one(p, np.int64), rate)[0]):
+            if not (rate and _mix_one(key ^ _mix_one(i << 20 | p)) >> 11 < least):
                 heapq.heappush(heap, (int(ranks[p]), i, j, now[i], now[j], p))
 
     gone = [False] * len(now)
@@ -183,17 +193,13 @@ def segment(m: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
 
 
 class Encoder:
-    """Encodes slices; remembers the segmentation of chunks it has seen."""
+    """Encodes slices, every occurrence of a chunk by itself if there is dropout."""
 
-    def __init__(self, m: Model, rate: float, seed: int, variants: int):
-        self.m, self.rate, self.seed, self.variants = m, rate, seed, variants
-        self.forget()
+    def __init__(self, m: Model, rate: float, seed: int):
+        self.m, self.rate, self.seed = m, rate, seed
 
-    def forget(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-
-    def encode(self, data: np.ndarray, off: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, row bounds) of texts that already have their leading space."""
+    def encode(self, data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, row bounds) of texts that already have their leading space; ``docs`` are the rows' ids."""
         n = len(data)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
@@ -204,33 +210,21 @@ class Encoder:
         start = np.flatnonzero(new)
         end = np.append(start[1:], n)
         row = np.searchsorted(off, start, "right") - 1
-        salt = mix(variant.astype(np.uint64) + np.uint64(self.seed * 1_000_003 + 1))
-        key = mix(span_hashes(data, start, end) ^ salt[row])
-        known, back = np.unique(key, return_inverse=True)
-        where = np.searchsorted(self.keys, known)
-        seen = where < len(self.keys)
-        seen[seen] = self.keys[where[seen]] == known[seen]
-        fresh = np.flatnonzero(~seen)
-        if len(fresh):
-            if len(self.keys) + len(fresh) > CACHED:
-                self.forget()
-                fresh = np.arange(len(known))
-            sample = np.zeros(len(known), np.int64)
-            sample[back] = np.arange(len(key))
-            self._learn(data, start[sample[fresh]], end[sample[fresh]], known[fresh])
-            where = np.searchsorted(self.keys, known)
-        size = self.size[where][back]
-        total = int(size.sum())
-        ids = self.ids[np.arange(total) + np.repeat(self.at[where][back] - (np.cumsum(size) - size), size)]
+        salt = mix(docs.astype(np.int64).view(np.uint64) + np.uint64(self.seed * 1_000_003 + 1))
+        nth = np.arange(len(start)) - np.searchsorted(start, off)[row]
+        keys = mix(salt[row] ^ mix(nth.astype(np.uint64)))
+        # a long text by ranges of chunks, so that memory is bounded by the range and the longest chunk
+        cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, n, RANGE_BYTES)), len(start))).tolist()
+        done = [self._segment(data[start[a] : end[b - 1]], end[a:b] - start[a:b], keys[a:b]) for a, b in zip(cuts, cuts[1:])]
+        ids, size = (np.concatenate([d[i] for d in done]) for i in range(2))
         ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, ends[np.searchsorted(start, off)]
+        return ids.astype(np.int32), ends[np.searchsorted(start, off)]
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, keys: np.ndarray) -> None:
-        m, raw = self.m, data.tobytes()
-        text = b"".join([raw[a:b] for a, b in zip(start.tolist(), end.tolist())])
+    def _segment(self, data: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per chunk) of chunks of these byte sizes, which cover ``data``."""
+        m, text = self.m, data.tobytes()
         points = np.frombuffer(text.decode().encode("utf-32-le"), "<u4").astype(np.int64)
         lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
-        size = end - start
         sizes = np.diff(np.concatenate([[0], np.cumsum(lead)])[np.concatenate([[0], np.cumsum(size)])])
         symbols = m.char[points].astype(np.int64)
         symbols[symbols < 0] = -1 - points[symbols < 0]
@@ -253,13 +247,7 @@ class Encoder:
                 parts.append(long)
             parts.append(own[short_ends[done] :])
         out = np.concatenate(parts)
-        out, counts = self._bytes(out, counts)
-        every = np.concatenate([self.keys, keys])
-        at = np.concatenate([self.at, len(self.ids) + np.cumsum(counts) - counts])
-        length = np.concatenate([self.size, counts])
-        self.ids = np.concatenate([self.ids, out.astype(np.int32)])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.at, self.size = every[order], at[order], length[order]
+        return self._bytes(out, counts)
 
     def _bytes(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unknown characters as byte pieces."""
@@ -285,11 +273,12 @@ def with_space(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return grown, off + np.concatenate([[0], np.cumsum(full)])
 
 
-def encode_texts(texts: list[str], rate: float = 0.0, seed: int = SEED, variant: int = 0, path: str | None = None) -> list[list[int]]:
+def encode_texts(texts: list[str], rate: float = 0.0, seed: int = SEED, first: int = 0, path: str | None = None) -> list[list[int]]:
+    """The ids of texts as documents ``first``, ``first`` + 1, ..."""
     import pyarrow as pa
 
     data, off = with_space(*bytes_of(pa.array(texts, pa.large_string())))
-    ids, bounds = Encoder(model(path or model_file()), rate, seed, VARIANTS).encode(data, off, np.full(len(texts), variant))
+    ids, bounds = Encoder(model(path or model_file()), rate, seed).encode(data, off, first + np.arange(len(texts)))
     return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
@@ -300,7 +289,7 @@ def decode_ids(ids: list[int], path: str | None = None) -> str:
 SCHEMA = "n_pieces long, ids_crc32 long, lossless boolean"
 
 
-def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", rate: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, path: str | None = None, ids_out: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", rate: float = DROPOUT, seed: int = SEED, path: str | None = None, ids_out: bool = False) -> DataFrame:
     """(key, n_pieces, ids_crc32, lossless) of every document, and the ids themselves if asked for."""
     path = path or model_file()
     held: dict = {}
@@ -310,12 +299,11 @@ def encode(docs: DataFrame, text: str = "text", key: str = "doc_id", rate: float
 
         m = model(path)
         if "coder" not in held:
-            held["coder"] = Encoder(m, rate, seed, variants)
+            held["coder"] = Encoder(m, rate, seed)
         raw, raw_off = bytes_of(part.column(1))
         data, off = with_space(raw, raw_off)
         id_col = part.column(0).fill_null(0)
-        variant = (mix(np.asarray(id_col.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)) % np.uint64(variants)).astype(np.int64)
-        ids, bounds = held["coder"].encode(data, off, variant)
+        ids, bounds = held["coder"].encode(data, off, np.asarray(id_col.to_numpy(zero_copy_only=False), np.int64))
         back = np.frombuffer(m.decode(ids), np.uint8)
         ends = np.concatenate([[0], np.cumsum(m.byte_len[ids])])[bounds]
         if len(back) == len(data) and (ends == off).all():
