@@ -5,7 +5,8 @@ every candidate string (a run of one character class: hex, base64 or url-safe) o
 Shannon entropy of each fixed-size window over it, computed by incremental counts: the window's next
 entropy follows from the one before by the counts of the character that enters and of the one that
 leaves.  A candidate whose best window passes its class's threshold is a span of kind ``entropy`` unless
-the allow-list suppresses it (digests of known files, uuids, words, one repeated character).
+the allow-list suppresses it (digests of known files, uuids, words, one repeated character).  A hex candidate
+has upper-case letters (a run in lower case is a base span, digests too) and at least one letter and one digit.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive; repeated
 rows are scanned one by one; extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -31,9 +32,12 @@ MASK = "[secret]"
 
 #: class -> (characters, least length, window, least entropy in bits per character)
 CLASSES = {
+    "hex": (b"0123456789ABCDEFabcdef", 24, 24, 3.0),
     "base64": (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 24, 3.9),
     "url": (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 24, 24, 3.9),
 }
+#: lower-case hex digests of well-known contents, which many texts quote: those of the empty file
+DIGESTS = {hashlib.new(name, b"").hexdigest().encode() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
 #: strings that look random and are known to be harmless
 ALLOW = [
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # a uuid
@@ -43,6 +47,7 @@ ALLOW = [
     re.compile(rb"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]).*"),
 ]
 
+_LETTER, _NUMBER = re.compile(rb"[A-Fa-f]"), re.compile(rb"[0-9]")
 _HEX = np.zeros(256, bool)
 _HEX[[*b"0123456789abcdef"]] = True
 _DIGIT = np.zeros(256, bool)
@@ -118,14 +123,16 @@ def spans(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     row = np.searchsorted(off, start, "right") - 1
     found += [(r, 2, a, b) for r, a, b in zip(row.tolist(), start.tolist(), end.tolist())]
     seen: set[tuple[int, int]] = set()
-    for chars, least, window, bits in CLASSES.values():
+    for name, (chars, least, window, bits) in CLASSES.items():
         mask = np.zeros(256, bool)
         mask[[*chars]] = True
         start, end = runs(mask[data], off, least)
         row = np.searchsorted(off, start, "right") - 1
         for r, a, b in zip(row.tolist(), start.tolist(), end.tolist()):
             s = raw[a:b]
-            if (a, b) not in seen and not any(p.fullmatch(s) for p in ALLOW) and not re.fullmatch(rb"[0-9a-f]+", s) and best_entropy(s, window) >= bits:
+            if name == "hex" and not (_LETTER.search(s) and _NUMBER.search(s)):
+                continue
+            if (a, b) not in seen and s.lower() not in DIGESTS and not any(p.fullmatch(s) for p in ALLOW) and not re.fullmatch(rb"[0-9a-f]+", s) and best_entropy(s, window) >= bits:
                 seen.add((a, b))
                 found.append((r, 3, a, b))
     table = np.array(sorted(found, key=lambda x: (x[0], x[2], x[1], x[3])), np.int64).reshape(-1, 4)

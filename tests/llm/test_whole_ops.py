@@ -18,3 +18,22 @@ def test_dropout_cuts_every_occurrence_by_itself(spark, monkeypatch):
     monkeypatch.setattr(pieces, "RANGE_BYTES", 64)
     assert pieces.encode_texts(texts, 0.3, first=5) == want and [pieces.decode_ids(x) for x in want] == texts
     assert pieces.encode_texts(texts[1:2], 0.3, first=6) == want[1:2]
+
+
+def test_upper_case_hex_is_a_secret_and_a_known_digest_is_not(spark):
+    import hashlib
+    import random
+
+    from grainworks.llm.secrets import MASK, redact, scan
+
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("0123456789ABCDEF") for _ in range(n)) for n in (24, 32, 40, 64) for _ in range(25)]
+    keys.append("9f8E7d6C5b4A39281706f5E4d3C2b1A0")
+    empty = [hashlib.new(x, b"").hexdigest().upper() for x in ("md5", "sha1", "sha256")]
+    quiet = [*empty, "A" * 32, "ABCDEFABCDEFABCDEFABCDEFABCD", "1234567890" * 3]
+    rows = spark.createDataFrame(list(enumerate(f"key {k} end" for k in keys + quiet)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in scan(rows).collect()}
+    assert [spans[i] for i in range(len(keys))] == [f"entropy:4:{4 + len(k)}" for k in keys]
+    out = {r.doc_id: r.text for r in redact(rows).collect()}
+    assert all(out[i] == f"key {MASK} end" for i in range(len(keys)))
+    assert all("entropy" not in spans[len(keys) + i] for i in range(len(quiet)))
