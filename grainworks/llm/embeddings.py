@@ -87,17 +87,15 @@ def _join(table: pa.Table, cosine: float) -> pa.Table:
 
 def groups(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", cosine: float = COSINE) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``vectors``."""
-    spark = vectors.sparkSession
     rows = vectors.select(vectors[key].cast("long").alias("id"), vectors[vector].alias("v"))
     classes = cut(_sized(rows.where("id is not null")).groupBy("v").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies")))
     r = float(np.sqrt(2 - 2 * cosine)) + 1e-7
-    found = None
-    for size in [x["n"] for x in classes.groupBy(F.size("v").alias("n")).count().orderBy("n").limit(1000).collect()]:
-        one = classes.where(F.size("v") == size)
-        made = _links(one, cosine, r)
-        found = made if found is None else found.unionByName(made)
-    if found is None:
-        found = spark.createDataFrame([], "rep long, links long, root long")
+    sized = classes.withColumn("n", F.size("v"))
+    large = [x["n"] for x in sized.groupBy("n").count().where(F.col("count") > BLOCK).orderBy("n").collect()]
+    # all vectors of a length that fits one block meet there; only the other lengths, one in BLOCK rows at most, need pivots
+    found = sized.where(~F.col("n").isin(large)).groupBy("n").applyInArrow(lambda t: _join(t.append_column("role", pa.array([2] * len(t), pa.int32())), cosine), "rep long, links long, root long")
+    for size in large:
+        found = found.unionByName(_links(classes.where(F.size("v") == size), cosine, r))
     found = cut(found)
     near = components(found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = classes.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(near, F.col("rep") == F.col("id"), "left")

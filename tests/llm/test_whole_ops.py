@@ -37,3 +37,11 @@ def test_upper_case_hex_is_a_secret_and_a_known_digest_is_not(spark):
     out = {r.doc_id: r.text for r in redact(rows).collect()}
     assert all(out[i] == f"key {MASK} end" for i in range(len(keys)))
     assert all("entropy" not in spans[len(keys) + i] for i in range(len(quiet)))
+
+
+def test_vectors_of_more_than_a_thousand_lengths_keep_their_links(spark):
+    from grainworks.llm.embeddings import groups
+
+    rows = [(2 * n + k, [1.0] * (n - 1) + [1.0 + 0.01 * k]) for n in range(2, 1102) for k in range(2)]
+    out = groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(out) == len(rows) and all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in out)
