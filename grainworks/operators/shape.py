@@ -85,11 +85,17 @@ def forward_fill(df: DataFrame, columns: list[str], order: str = "_row", by: lis
     return df.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
+BLOCK_ROWS = 64
+
+
 def region_fill(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """Empty cells (row, col, value) inside a merged region (r1, c1, r2, c2, value) take the region's value."""
     hit = (F.col("row") >= F.col("r1")) & (F.col("row") <= F.col("r2")) & (F.col("col") >= F.col("c1")) & (F.col("col") <= F.col("c2"))
-    fill = regions.withColumnRenamed("value", "fill").where("fill is not null")
-    return cells.join(fill, hit, "left").groupBy("row", "col").agg(F.first("value").alias("value"), F.first("fill").alias("fill")).select("row", "col", F.coalesce("value", "fill").alias("value"))
+    fill = regions.withColumnRenamed("value", "fill").where("fill is not null and r1 <= r2")
+    # a region is dealt to the blocks of rows that it meets, so that the join has a key
+    block = lambda c: F.floor(F.col(c) / BLOCK_ROWS)
+    fill = fill.withColumn("block", F.explode(F.sequence(block("r1"), block("r2"))))
+    return cells.join(fill, (block("row") == F.col("block")) & hit, "left").groupBy("row", "col").agg(F.first("value").alias("value"), F.first("fill").alias("fill")).select("row", "col", F.coalesce("value", "fill").alias("value"))
 
 
 def data_rows(populated: DataFrame, most: int) -> tuple[int, int]:

@@ -324,10 +324,7 @@ def merge_region_fill(spark, d):
     v = F.concat(F.lit("v"), F.col("c_custkey").cast("string"))
     grid = c.select(F.col("c_custkey").alias("row"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])).alias("col"), v.alias("v")).select("row", "col", F.when((F.col("row") % 5 == 0) | (F.col("col") == 2), F.col("v")).alias("value"))
     regions = c.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("r1"), (F.col("c_custkey") + 4).alias("r2"), F.lit(0).alias("c1"), F.lit(1).alias("c2"), v.alias("value"))
-    # regions are at most five rows high, so a row meets its region under one of its own five starts: an equi-join, not a range scan
-    keyed = regions.withColumn("row", F.explode(F.sequence("r1", "r2"))).select("row", "c1", "c2", F.col("value").alias("fill"))
-    out = grid.join(keyed, (grid["row"] == keyed["row"]) & grid["col"].between(F.col("c1"), F.col("c2")), "left")
-    return out.select(grid["row"], "col", F.coalesce("value", "fill").alias("value"))
+    return shape.region_fill(grid, regions)
 
 
 @query("""WITH p AS (SELECT s_suppkey AS row, CASE WHEN s_suppkey <= 3 OR s_suppkey > 95 THEN s_suppkey % 2 ELSE 2 + s_suppkey % 3 END AS populated FROM supplier),

@@ -31,3 +31,18 @@ def test_ws_tokens_of_every_line(spark, tmp_path):
     lines = {(i, k): x.split() for i, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n"), 1)}
     width = max(map(len, lines.values()))
     assert got == {at: (len(f), f[0] if f else "", len(f) != width) for at, f in lines.items()} | {(3, None): (None, "", None)}
+
+
+def test_region_fill_by_blocks_of_rows(spark, monkeypatch):
+    from grainworks.operators import shape
+
+    cells = [(r, c, "own" if r % 7 == 0 else None) for r in range(300) for c in range(4)]
+    regions = [(0, 0, 0, 0, "a"), (60, 200, 1, 2, "b"), (128, 128, 3, 3, "c"), (250, 299, 0, 1, None)]
+    want = {(r, c): v or next((x for a, b, e, f, x in regions if a <= r <= b and e <= c <= f), None) for r, c, v in cells}
+    made = shape.region_fill(spark.createDataFrame(cells, "row long, col long, value string"), spark.createDataFrame(regions, "r1 long, r2 long, c1 int, c2 int, value string"))
+    assert {(r.row, r.col): r.value for r in made.collect()} == want
+    assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+    called = []
+    monkeypatch.setattr(shape, "region_fill", lambda *a: called.append(a))
+    queries.merge_region_fill(spark, "/root/testdata/sf0.001")
+    assert called
