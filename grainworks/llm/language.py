@@ -7,7 +7,7 @@ one-versus-rest kernel ridge regression is fitted on the landmarks' feature map.
 products a batch: presence x landmarks, then kernel x weights.
 
 The fit sees ``text`` and ``lang`` of documents whose crc32(doc_id) mod 5 is not 0, at most FIT_EACH texts
-a language (documented bound); everything else covers all rows.
+a language, fewer above LANGS_IN_FULL languages (documented bound); everything else covers all rows.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; ties go to the first
 language in alphabetical order; without any labelled row all texts are ``und``; repeated rows are scored one
@@ -28,6 +28,8 @@ from grainworks.llm.text import bytes_of, lower, slices
 GRAMS, BITS = 3, 13
 #: labelled texts per language that the fit uses, and landmarks per language
 FIT_EACH, LANDMARKS_EACH = 300, 40
+#: with more languages than this, each has fewer texts and landmarks, so that their sums stay as they are; one at least
+LANGS_IN_FULL = 200
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -55,12 +57,13 @@ def labelled(docs: DataFrame, text: str, lang: str, key: str, each: int = FIT_EA
     rows = docs.select(docs[key].cast("string").alias("k"), docs[text].alias("text"), docs[lang].alias("lang")).where("text is not null and lang is not null and pmod(crc32(cast(k as binary)), 5) <> 0")
     drawn = rows.withColumn("draw", F.xxhash64("k", F.lit(17)))
     # a threshold on the uniform draw keeps about three times as many as asked for; the exact cut follows
-    cut_at = drawn.groupBy("lang").agg(F.count("*").alias("n")).withColumn("share", F.least(F.lit(1.0), 3.0 * each / F.col("n")))
-    shares = {r["lang"]: r["share"] for r in cut_at.orderBy(F.desc("n")).limit(200).collect()}
-    if not shares:
+    sizes = drawn.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sizes.count()
+    if not langs:
         return []
-    low = F.coalesce(*[F.when(F.col("lang") == x, F.lit(float(-(1 << 63) + s * float(1 << 64)))) for x, s in shares.items()])
-    few = drawn.where(F.col("draw").cast("double") <= low)
+    each = max(1, min(each, LANGS_IN_FULL * each // langs))
+    share = F.least(F.lit(1.0), 3.0 * each / F.col("n"))
+    few = drawn.join(F.broadcast(sizes), "lang").where(F.col("draw").cast("double") <= F.lit(float(-(1 << 63))) + share * F.lit(float(1 << 64)))
     return sorted(few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("draw", "k", "text"))), 1, each).alias("top")).select("lang", F.explode("top").alias("t")).select("lang", "t.draw", "t.k", "t.text").collect(), key=lambda r: (r["lang"], r["draw"], r["k"]))
 
 
@@ -71,7 +74,9 @@ def fit(rows: list, landmarks_each: int = LANDMARKS_EACH, ridge: float = RIDGE)
     langs = sorted({r["lang"] for r in rows})
     texts = pa.array([r["text"] for r in rows], pa.large_string())
     x = presence(*bytes_of(texts))
-    y = np.array([langs.index(r["lang"]) for r in rows])
+    index = {x: i for i, x in enumerate(langs)}
+    y = np.array([index[r["lang"]] for r in rows])
+    landmarks_each = max(1, min(landmarks_each, LANGS_IN_FULL * landmarks_each // len(langs)))
     marks = np.concatenate([np.flatnonzero(y == i)[:landmarks_each] for i in range(len(langs))])
     land = x[marks]
     k_mm, k_nm = (land @ land.T).astype(np.float64), (x @ land.T).astype(np.float64)

@@ -45,3 +45,13 @@ def test_vectors_of_more_than_a_thousand_lengths_keep_their_links(spark):
     rows = [(2 * n + k, [1.0] * (n - 1) + [1.0 + 0.01 * k]) for n in range(2, 1102) for k in range(2)]
     out = groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert len(out) == len(rows) and all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in out)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    from grainworks.llm import language
+
+    assert language.LANGS_IN_FULL == 200
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(10 * i + k, f"{a}{b}q{b}{a} {b}{a}{a} z{a}{b} " * 3, f"{a}{b}") for i, (a, b) in enumerate((x, y) for x in letters[:15] for y in letters[:14]) for k in range(6)]
+    names = {r["lang"] for r in language.labelled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")}
+    assert names == {x for _, _, x in rows} and len(names) == 210
