@@ -46,3 +46,12 @@ def test_region_fill_by_blocks_of_rows(spark, monkeypatch):
     monkeypatch.setattr(shape, "region_fill", lambda *a: called.append(a))
     queries.merge_region_fill(spark, "/root/testdata/sf0.001")
     assert called
+
+
+def test_rollup_of_all_tables(spark):
+    import os
+
+    d = "/root/testdata/sf0.001"
+    names = [x.removesuffix(".parquet") for x in os.listdir(d) if x.endswith(".parquet")]
+    got = {r.name: r.rows_out for r in queries.report_rollup(spark, d).collect()}
+    assert len(names) == 14 and got == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in names}
