@@ -19,6 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or it with more underscores if a column is called so (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, batch: str | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and reread, so that a lost executor costs no recomputation.
 
