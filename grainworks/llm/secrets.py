@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns plus a sliding-window Shannon entropy per character class.
 
-Three base patterns (an assignment, an access key id, a long hex run) are found exactly.  Beside them,
-every candidate string (a run of one character class: hex, base64 or url-safe) of some length gets the
-Shannon entropy of each fixed-size window over it, computed by incremental counts: the window's next
-entropy follows from the one before by the counts of the character that enters and of the one that
-leaves.  A candidate whose best window passes its class's threshold is a span of kind ``entropy`` unless
-the allow-list suppresses it (digests of known files, uuids, words, one repeated character).  A hex candidate
-has upper-case letters (a run in lower case is a base span, digests too) and at least one letter and one digit.
+Three base patterns (an assignment, an access key id, a long hex run) are found exactly.  Beside them, every
+candidate string (a maximal run of one character class: hex, base64 or url-safe, each with a least length, a
+window and a threshold of its own) gets the Shannon entropy of each window of fixed size over it.  The counts of
+a window are incremental: what has entered up to its end less what has left before its start.  A candidate
+whose best window passes its class's threshold is a span of kind ``entropy`` unless the allow-list suppresses it
+(digests of known files, uuids, numbers, one repeated character, words).  Letters count as words only on
+evidence: enough of their neighbours are pairs that common words are made of.  A hex candidate has upper-case
+letters (a run in lower case is a base span, digests too) and at least one letter and one digit.
 
 Defined results: a null or empty text has no spans; spans are in code points, end exclusive; repeated
 rows are scanned one by one; extra columns are ignored by ``scan`` and kept by ``redact``.
@@ -15,7 +16,6 @@ rows are scanned one by one; extra columns are ignored by ``scan`` and kept by `
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 
 import numpy as np
@@ -29,23 +29,28 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "entropy")
 MASK = "[secret]"
+#: windows whose counts are held at a time
+RANGE = 8192
 
 #: class -> (characters, least length, window, least entropy in bits per character)
 CLASSES = {
     "hex": (b"0123456789ABCDEFabcdef", 24, 24, 3.0),
     "base64": (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24, 24, 3.9),
-    "url": (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 24, 24, 3.9),
+    "url": (b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 28, 28, 4.0),
 }
 #: lower-case hex digests of well-known contents, which many texts quote: those of the empty file
 DIGESTS = {hashlib.new(name, b"").hexdigest().encode() for name in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")}
 #: strings that look random and are known to be harmless
 ALLOW = [
     re.compile(rb"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),  # a uuid
-    re.compile(rb"[A-Za-z]+(?:[-_/][A-Za-z]+)*"),  # words without digits
     re.compile(rb"[0-9+/_-]+"),  # numbers
     re.compile(rb"(.)\1*"),
     re.compile(rb"(?:[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Dd][Uu][Mm][Mm][Yy]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]).*"),
 ]
+#: pairs of letters that are common in English, French, German and Spanish words (fixed values)
+PAIRS = set(b"ai al an ar as at be ca ce ch co de di ed ei el em en er es et ge ha he hi ho ic ie il in io is it la le li ll lo ma me mi na nd ne ng ns nt ol om on or os ou pa pe po pr qu ra re ri ro rs se sh si so ss st ta te th ti to tr ue ul un ur us ve wa we wh".split())
+#: the least share of such pairs among a word's; of random letters about an eighth are
+PAIR_SHARE = 0.3
 
 _LETTER, _NUMBER = re.compile(rb"[A-Fa-f]"), re.compile(rb"[0-9]")
 _HEX = np.zeros(256, bool)
@@ -75,22 +80,29 @@ def best_entropy(s: bytes, window: int) -> float:
     n = min(window, len(s))
     if not n:
         return 0.0
-    part = [0.0] + [c * math.log2(c) for c in range(1, n + 1)]
-    counts, total = [0] * 256, 0.0
-    least = math.inf
-    for i, c in enumerate(s):
-        total += part[counts[c] + 1] - part[counts[c]] if i < n else 0.0
-        if i < n:
-            counts[c] += 1
-        else:
-            old = s[i - n]
-            total += part[counts[old] - 1] - part[counts[old]]
-            counts[old] -= 1
-            total += part[counts[c] + 1] - part[counts[c]]
-            counts[c] += 1
-        if i >= n - 1:
-            least = min(least, total)
-    return max(0.0, math.log2(n) - least / n)
+    every = np.arange(n + 1)
+    weight = np.zeros(n + 1)
+    weight[1:] = every[1:] * np.log2(every[1:])
+    least = np.inf
+    for i in range(0, len(s) - n + 1, RANGE):  # in ranges of windows, so that memory does not follow the string
+        _, code = np.unique(np.frombuffer(s[i : i + RANGE + n - 1], np.uint8), return_inverse=True)
+        entered = np.zeros((len(code) + 1, int(code.max()) + 1), np.int32)
+        entered[np.arange(1, len(code) + 1), code] = 1
+        np.cumsum(entered, axis=0, out=entered)
+        least = min(least, weight[entered[n:] - entered[:-n]].sum(1).min())
+    return max(0.0, float(np.log2(n) - least / n))
+
+
+def is_wordy(s: bytes) -> bool:
+    """Letters, and signs between them, whose neighbouring letters are those of words."""
+    if not re.fullmatch(rb"[A-Za-z+/_-]+", s):
+        return False
+    pairs = [w[i : i + 2] for w in re.findall(rb"[a-z]+", s.lower()) for i in range(len(w) - 1)]
+    return sum(p in PAIRS for p in pairs) >= PAIR_SHARE * len(pairs)
+
+
+def is_allowed(s: bytes) -> bool:
+    return s.lower() in DIGESTS or any(p.fullmatch(s) for p in ALLOW) or is_wordy(s)
 
 
 def _assignments(raw: bytes, off: np.ndarray) -> list[tuple[int, int, int]]:
@@ -132,7 +144,7 @@ def spans(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
             s = raw[a:b]
             if name == "hex" and not (_LETTER.search(s) and _NUMBER.search(s)):
                 continue
-            if (a, b) not in seen and s.lower() not in DIGESTS and not any(p.fullmatch(s) for p in ALLOW) and not re.fullmatch(rb"[0-9a-f]+", s) and best_entropy(s, window) >= bits:
+            if (a, b) not in seen and not is_allowed(s) and not re.fullmatch(rb"[0-9a-f]+", s) and best_entropy(s, window) >= bits:
                 seen.add((a, b))
                 found.append((r, 3, a, b))
     table = np.array(sorted(found, key=lambda x: (x[0], x[2], x[1], x[3])), np.int64).reshape(-1, 4)
