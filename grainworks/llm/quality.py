@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from grainworks.llm.frames import map_slices
-from grainworks.llm.text import Words, bytes_of, chained, covered, mix, points, repeated, slices, span_hashes
+from grainworks.llm.text import Words, bytes_of, covered, mix, points, repeated, rolled, slices, span_hashes
 
 #: n-gram length -> largest share of word characters that may lie inside repeated n-grams of that length
 LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -46,7 +46,7 @@ def measures(data: np.ndarray, off: np.ndarray, limits: dict[int, float] = LIMIT
 
     def inside(n: int) -> np.ndarray:
         at = words.windows(n)
-        many, _ = repeated(_of_row(chained(hashes, at, n), words.doc[at]))
+        many, _ = repeated(_of_row(rolled(hashes, at, n), words.doc[at]))
         return covered(at[many], n, len(words))
 
     n_repeat, verdict, most = np.zeros(words.rows, np.int64), np.ones(words.rows, bool), np.zeros(words.rows, np.int64)

@@ -146,6 +146,15 @@ def chained(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def rolled(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A rolling hash of the ``n`` consecutive values of ``hashes`` from each place in ``at``: a polynomial whose prefix
+    sums are taken once, so that a window costs the same whatever its length."""
+    up, down = _power(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[at + n] - total[at]) * down[at] + np.uint64(n))
+
+
 def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(in a group of two or more, not the first of its group in input order) for each key."""
     many, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
