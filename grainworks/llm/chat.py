@@ -3,7 +3,8 @@
 A turn's content is a list of typed parts.  A visitor flattens them in order: text is escaped, an image,
 audio or document part becomes a placeholder, its reference is recorded with the place of the placeholder
 and its expanded token count.  Turns are marked and joined by conversation; a segment list says where each
-turn's content lies and whether the loss is taken there.  ``parse`` reads all of it back.
+turn's content lies and whether the loss is taken there.  ``parse`` reads the turns back, ``typed_turns`` their
+typed parts with references and tokens, ``loss_text`` what the mask covers.
 
 Escaping is reversible: the backslash and the first character of every control string become two-character
 codes, so no content can contain a control string, and undoing the codes restores it exactly.
@@ -93,11 +94,44 @@ def parse(c: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(_unrole(F.regexp_extract(t, r"^<\|role:([^|]*)\|>", 1)).alias("role"), unescaped(F.regexp_replace(t, r"^<\|role:[^|]*\|>", "")).alias("text")))
 
 
+def content_parts(c: Column) -> Column:
+    """The parts of one turn's content: text between placeholders, unescaped, and the placeholders by type, in order; empty texts are left out."""
+    # escaped text holds no "<|", so every one starts a placeholder, which ends at the next "|>"
+    pieces = F.split(c, r"<\|")
+    text = lambda x: F.struct(F.lit("text").alias("type"), unescaped(x).alias("text"))
+    held = lambda x: F.struct(_unrole(F.substring_index(x, "|>", 1)).alias("type"), F.lit("").alias("text"))
+    after = lambda x: F.substring(x, F.char_length(F.substring_index(x, "|>", 1)) + 3, F.lit(2147483647))
+    parts = F.flatten(F.transform(pieces, lambda x, i: F.when(i == 0, F.array(text(x))).otherwise(F.array(held(x), text(after(x))))))
+    return F.filter(parts, lambda p: (p["type"] != "text") | (p["text"] != ""))
+
+
+def typed_turns(done: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv, at, role, part, type, text, ref, tokens): a row for each typed part, from the formatted text, its segments and attachments.
+
+    Neighbouring texts of one turn come back as one part; an attachment's reference and tokens come from the record made beside its placeholder.
+    """
+    turns = done.select(conv, "formatted", "attachments", F.posexplode("segments").alias("at", "s"))
+    content = F.substring(F.col("formatted"), F.col("s.start").cast("int") + 1, F.col("s.length").cast("int"))
+    own = F.filter("attachments", lambda a: a["start"] == F.col("s.start"))
+    parts = turns.select(conv, "at", F.col("s.role").alias("role"), own.alias("own"), F.posexplode(content_parts(content)).alias("part", "p"), content_parts(content).alias("every"))
+    nth = F.size(F.filter(F.slice("every", 1, F.col("part") + 1), lambda p: p["type"] != "text"))
+    record = F.when(F.col("p.type") != "text", F.get("own", nth - 1))
+    return parts.select(conv, "at", "role", "part", "p.type", "p.text", record["ref"].alias("ref"), record["tokens"].alias("tokens"))
+
+
+def loss_text(formatted: Column, segments: Column) -> Column:
+    """All text under the loss mask, cut out of the formatted text by the segments' places and unescaped, with nothing between."""
+    marked = F.filter(segments, lambda s: s["loss"])
+    # four bytes a character, so that a cut costs its own length wherever it lies; a lambda's variable, so that it is made once
+    cut = lambda w, s: F.decode(F.substring(w, 4 * s["start"].cast("int") + 1, 4 * s["length"].cast("int")), "UTF-32")
+    said = F.transform(F.array(F.encode(formatted, "UTF-32")), lambda w: F.array_join(F.transform(marked, lambda s: unescaped(cut(w, s))), ""))
+    return F.get(said, F.lit(0))
+
+
 def read_back(done: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted text and its segments."""
-    held = done.select(conv, "formatted", "segments", parse(F.col("formatted")).alias("turns"))
+    """(conv, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), from the formatted text and the places of its loss mask."""
+    held = done.select(conv, "formatted", parse(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("segments")).alias("loss"))
     held = held.withColumn("said", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""))
-    held = held.withColumn("loss", F.array_join(F.transform(F.filter(F.arrays_zip("turns", F.col("segments.loss").alias("loss")), lambda z: z["loss"]), lambda z: z["turns"]["text"]), ""))
     return held.select(conv, F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
