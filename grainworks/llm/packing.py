@@ -7,13 +7,15 @@
    and are packed best-fit again, until one group is left.
 4. Each round yields a map (sequence -> sequence it went into, offset there); pieces follow it by joins.
 
-After best fit at most one sequence of a group is half empty or emptier, and sequences more than half
-full never fit each other, so what a later round can still use is each group's emptiest sequences:
-as partners of the others' small ones.  ``ROOM`` of them (the emptiest first) go up per group, the
-others are final as they are, so a round's groups stay of bounded size however large the table is.
+After best fit at most one sequence of a group is half empty or emptier, and sequences more than half full never
+fit each other.  So a round of ``FAN`` groups can place at most ``FAN`` small sequences, and the emptiest of the others
+are the best hosts for them: of each group, as many of its emptiest sequences go up as all rounds to come can fill,
+``FAN`` a round.  What stays behind could not have been used, and a round's groups stay of bounded size however large
+the table is.
 
 Defined results: a null or empty text is one piece (the end token); repeated rows are packed one by
-one; an empty table gives an empty table; extra columns are ignored.
+one; an empty table gives an empty table; ties go by id and piece; extra columns are ignored by ``pack_documents`` and
+kept by ``pack`` whatever their names.
 """
 
 from __future__ import annotations
@@ -27,15 +29,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainworks.llm.frames import cut, map_slices
+from grainworks.llm.frames import cut, free, map_slices
 from grainworks.llm.text import text_of
 
 CAPACITY = 1024
 END = 2
 #: a sequence with at least this share of the capacity is final
 NEARLY = 0.995
+#: groups that a round merges into one
 FAN = 64
-ROOM = 64
 
 _coders: dict = {}
 
@@ -115,16 +117,21 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return where, offset, fill
 
 
-def _rising(fill: np.ndarray, capacity: int) -> np.ndarray:
-    """Which bins go up: of the underfull ones, the ROOM emptiest."""
+def _rising(fill: np.ndarray, capacity: int, rounds: int) -> np.ndarray:
+    """Which bins go up: of the underfull ones the emptiest, as many as ``rounds`` more rounds can fill."""
     under = np.flatnonzero(fill < NEARLY * capacity)
-    return under[np.argsort(fill[under], kind="stable")][:ROOM]
+    return under[np.argsort(fill[under], kind="stable")][: FAN * rounds]
 
 
 def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """``items`` (key, piece, length and more) with ``sequence_id`` and ``offset``; reads ``items`` once, so give it a written table."""
-    spark, schema = items.sparkSession, items.schema
+    schema = items.schema
     names = schema.fieldNames()
+    bin_, place_, fill_, up_ = (free(x, names) for x in ("bin", "place", "fill", "up"))
+    groups, rounds = max(1, items.rdd.getNumPartitions()), 1
+    while FAN**rounds < groups:
+        rounds += 1
+    every = rounds
 
     def local(batches):
         from pyspark import TaskContext
@@ -137,8 +144,8 @@ def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
             p = pd.concat(frames, ignore_index=True).sort_values(["length", key, "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
             where, offset, fill = best_fit(p["length"].tolist(), capacity)
             up = np.zeros(len(fill), bool)
-            up[_rising(np.array(fill, np.int64), capacity)] = True
-            p["bin"], p["place"], p["fill"], p["up"] = np.array(where, np.int64) + (part << 40) + made, offset, np.array(fill)[where], up[where]
+            up[_rising(np.array(fill, np.int64), capacity, every)] = True
+            p[bin_], p[place_], p[fill_], p[up_] = np.array(where, np.int64) + (part << 40) + made, offset, np.array(fill)[where], up[where]
             made += len(fill)
             return p
 
@@ -151,14 +158,13 @@ def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         if n:
             yield done(held)
 
-    packed = cut(items.mapInPandas(local, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", bin long, place long, fill long, up boolean"))
-    level = packed.where("up").select("bin", "fill").distinct().withColumn("grp", F.shiftright("bin", 40))
-    groups = max(1, items.rdd.getNumPartitions())
+    packed = cut(items.mapInPandas(local, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", {bin_} long, {place_} long, {fill_} long, {up_} boolean"))
+    raised = packed.where(F.col(up_))
+    level = raised.select(F.col(bin_).alias("bin"), F.col(fill_).alias("fill")).distinct().withColumn("grp", F.shiftright("bin", 40))
     moves = None
-    while True:
-        groups = -(-groups // FAN)
-
-        last = groups == 1
+    while rounds:
+        rounds -= 1
+        left = rounds
 
         def merge(p):
             p = p.sort_values(["fill", "bin"], ascending=[False, True], kind="stable", ignore_index=True)
@@ -166,8 +172,7 @@ def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
             head = p.groupby(pd.Series(where))["bin"].transform("first")
             fill = np.array(fill, np.int64)
             up = np.zeros(len(fill), bool)
-            if not last:
-                up[_rising(fill, capacity)] = True
+            up[_rising(fill, capacity, left)] = True  # noqa: B023  run before the next round
             return pd.DataFrame({"bin": p["bin"], "head": head, "shift": offset, "head_fill": fill[where], "up": up[where], "grp": p["grp"]})
 
         step = cut(level.withColumn("grp", F.floor(F.col("grp") / FAN)).groupBy("grp").applyInPandas(merge, "bin long, head long, shift long, head_fill long, up boolean, grp long"))
@@ -177,13 +182,12 @@ def pack(items: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Dat
         else:
             then = moved.select(F.col("bin").alias("b2"), F.col("head").alias("h2"), F.col("shift").alias("s2"))
             moves = moves.join(then, moves["head"] == then["b2"], "left").select("bin", F.coalesce("h2", "head").alias("head"), (F.col("shift") + F.coalesce("s2", F.lit(0))).alias("shift"))
-        if groups == 1:
-            break
         level = step.where("up").select(F.col("head").alias("bin"), F.col("head_fill").alias("fill"), "grp").distinct()
-    low = packed.where("up").join(moves.withColumnRenamed("bin", "m_bin"), F.col("bin") == F.col("m_bin"), "left")
+    to, head_, shift_ = (free(x, names) for x in ("to_bin", "head", "shift"))
+    low = raised.join(moves.select(F.col("bin").alias(to), F.col("head").alias(head_), F.col("shift").alias(shift_)), F.col(bin_) == F.col(to), "left")
     out = [F.col(f"`{n}`") for n in names]
-    return packed.where("not up").select(*out, F.col("bin").alias("sequence_id"), F.col("place").alias("offset")).unionByName(
-        low.select(*out, F.coalesce("head", "bin").alias("sequence_id"), (F.col("place") + F.coalesce("shift", F.lit(0))).alias("offset"))
+    return packed.where(~F.col(up_)).select(*out, F.col(bin_).alias("sequence_id"), F.col(place_).alias("offset")).unionByName(
+        low.select(*out, F.coalesce(head_, bin_).alias("sequence_id"), (F.col(place_) + F.coalesce(F.col(shift_), F.lit(0))).alias("offset"))
     )
 
 
