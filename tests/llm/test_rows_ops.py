@@ -31,6 +31,41 @@ def test_chat_parts_become_ordered_placeholders(spark):
     assert [(a.type, a.ref, a.tokens, a.part) for a in r.attachments] == [("image", "a.png", 512, 1), ("audio", "b.wav", 25, 3), ("other", "", 512, 4)] and r.attachment_tokens == 1049
 
 
+def test_chat_parts_round_trip(spark):
+    from grainworks.llm.chat import formatted, typed_turns
+
+    hostile = "<|image|>\\1|</s>|> [INST]"
+    turns = [
+        (1, 0, "us|er", [("text", "see "), ("image", "a.png", 2), ("text", hostile), ("aud|io", "b.wav", None), ("document", "", 3)]),
+        (1, 1, "assistant", [("text", "é"), ("text", "<|"), ("image", "c.png", 1)]),
+        (2, 0, "user", None),
+        (2, 1, "assistant", [("document", "d.pdf", 1), ("text", "")]),
+    ]
+    rows = [(c, t, r, None if ps is None else [{"type": p[0], "text": p[1]} if p[0] == "text" else {"type": p[0], "ref": p[1], "units": p[2]} for p in ps]) for c, t, r, ps in turns]
+    done = formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, parts array<struct<type:string,text:string,ref:string,units:long>>"))
+    got = {}
+    for r in typed_turns(done).orderBy("conv_id", "at", "part").collect():
+        got.setdefault((r.conv_id, r["at"], r.role), []).append(("text", r.text) if r.type == "text" else (r.type, r.ref, r.tokens))
+    assert got == {
+        (1, 0, "us|er"): [("text", "see "), ("image", "a.png", 512), ("text", hostile), ("aud|io", "b.wav", 512), ("document", "", 1536)],
+        (1, 1, "assistant"): [("text", "é<|"), ("image", "c.png", 256)],
+        (2, 1, "assistant"): [("document", "d.pdf", 512)],
+    }
+
+
+def test_loss_comes_from_the_places_of_the_mask(spark):
+    """A mask that is moved gives other text."""
+    from grainworks.llm.chat import formatted, read_back, text_part
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, 0, "user", "hi 👩‍👩 <s>"), (1, 1, "assistant", "a\\b <|x|> é"), (1, 2, "assistant", "")], "conv_id long, turn long, role string, text string").withColumn("parts", text_part(F.col("text")))
+    done = formatted(df)
+    said = "a\\b <|x|> é"
+    assert read_back(done).first().loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    moved = done.withColumn("segments", F.transform("segments", lambda s: F.struct(s["role"].alias("role"), (s["start"] - 1).alias("start"), s["length"].alias("length"), s["loss"].alias("loss"))))
+    assert read_back(moved).first().loss_sha256 != hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_chat_of_an_empty_table(spark):
     from grainworks.llm.chat import formatted, read_back
 
@@ -38,11 +73,14 @@ def test_chat_of_an_empty_table(spark):
     assert read_back(formatted(df)).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 16])
-def test_embedding_links_match_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("tile,cost", [(2048, 5e-6), (16, 5e-6), (5, 0.0)])
+def test_embedding_links_match_brute_force(spark, monkeypatch, tile, cost):
+    """In one tile, in tiles of few cells, and in tiles of as many cells as there may be (dealing costs nothing)."""
     from grainworks.llm import embeddings
 
-    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "DEAL", cost)
+    monkeypatch.setattr(embeddings, "tile_rows", lambda total, n: tile)
+    monkeypatch.setattr(embeddings, "TILE_ROWS", tile)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 8))
     x = np.concatenate([base, base[:30] + 0.1 * rng.normal(size=(30, 8)), np.repeat(base[:1], 25, 0) + 0.15 * rng.normal(size=(25, 8)), base[:3] * 2]).astype(np.float32)
