@@ -5,12 +5,15 @@ from __future__ import annotations
 import argparse
 import json
 import logging
+import os
 import sys
 import tomllib
 
 from grainworks.plans.model import EngineError
 
-CONFIG_KEYS = ("delimiter", "format", "output_format", "array_mode", "separator", "array_join_sep", "mode", "sheet", "table", "schema", "on_violation", "report")
+#: read from the working folder where no config is named
+CONFIG_FILE = "grainworks.toml"
+CONFIG_KEYS = ("delimiter", "format", "output_format", "array_mode", "separator", "array_join_sep", "mode", "sheet", "table", "schema", "on_violation", "report", "report_dir")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,18 +29,23 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--format")
     c.add_argument("--output-format", choices=["csv", "json", "parquet"])
     c.add_argument("--delimiter")
-    c.add_argument("--no-header", action="store_true", help="CSV: the first record is data")
-    c.add_argument("--has-header", action="store_true", help="fixed-width: the first line is a header")
+    header = c.add_mutually_exclusive_group()
+    header.add_argument("--no-header", action="store_true", help="CSV: the first record is data")
+    header.add_argument("--has-header", action="store_true", help="fixed-width: the first line is a header")
     c.add_argument("--mode", choices=["fixed", "whitespace"])
     c.add_argument("--sheet")
     c.add_argument("--table")
-    c.add_argument("--no-merge-fill", action="store_true")
+    fill = c.add_mutually_exclusive_group()
+    fill.add_argument("--merge-fill", action="store_true", help="Excel: merged regions are filled (the default)")
+    fill.add_argument("--no-merge-fill", action="store_true")
     c.add_argument("--array-mode", choices=["join", "explode"])
     c.add_argument("--separator")
     c.add_argument("--array-join-sep")
     c.add_argument("--schema", metavar="JSON")
     c.add_argument("--on-violation", choices=["warn", "reject"])
     c.add_argument("--report", metavar="JSON")
+    c.add_argument("--report-dir", metavar="DIR", help="with --batch: a report for each file")
+    c.add_argument("--parts", action="store_true", help="write folders of part files")
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--stream", action="store_true")
     d = sub.add_parser("detect")
@@ -46,17 +54,25 @@ def parser() -> argparse.ArgumentParser:
 
 
 def merged(args: argparse.Namespace) -> dict:
-    """Command line over the config's ``[defaults]``; switches are on if either side turns them on."""
+    """Command line over the config's ``[defaults]``; switches are on if either side turns them on.
+
+    A config that is named must be there; the one in the working folder may be absent.
+    """
     found: dict = {}
-    if args.config:
+    config = args.config or (CONFIG_FILE if os.path.exists(CONFIG_FILE) else None)
+    if config:
         try:
-            with open(args.config, "rb") as f:
+            with open(config, "rb") as f:
                 found = tomllib.load(f).get("defaults", {})
         except (OSError, tomllib.TOMLDecodeError) as e:
             raise EngineError(f"cannot read the config: {e}") from None
     out = {k: getattr(args, k) if getattr(args, k) is not None else found.get(k) for k in CONFIG_KEYS}
-    for k in ("no_header", "has_header", "no_merge_fill", "dry_run", "stream"):
+    for k in ("no_header", "has_header", "merge_fill", "no_merge_fill", "dry_run", "stream", "parts"):
         out[k] = getattr(args, k) or bool(found.get(k, False))
+    # a switch of the command line undoes its opposite in the config
+    for on, off in (("has_header", "no_header"), ("merge_fill", "no_merge_fill")):
+        out[off] = out[off] and not getattr(args, on)
+        out[on] = out[on] and not getattr(args, off)
     return out
 
 
@@ -120,9 +136,9 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         if o["schema"]:
             with open(o["schema"], encoding="utf-8") as f:
                 schema = Schema.from_json(f.read())
-        common = {"fmt": o["format"], "options": options_of(o), "schema": schema, "on_violation": o["on_violation"] or "warn", "dry_run": o["dry_run"], "stream": o["stream"]}
+        common = {"fmt": o["format"], "options": options_of(o), "schema": schema, "on_violation": o["on_violation"] or "warn", "dry_run": o["dry_run"], "stream": o["stream"], "parts": o["parts"] or None}
         if args.batch:
-            results = pipeline.batch(spark, args.batch, args.output or f"{args.batch.rstrip('/')}_clean", output_format=o["output_format"] or "csv", **common)
+            results = pipeline.batch(spark, args.batch, args.output or f"{args.batch.rstrip('/')}_clean", output_format=o["output_format"] or "csv", report_dir=o["report_dir"], **common)
             for r in results:
                 show(log, r, args.verbose)
             failed = sum(r.error is not None for r in results)

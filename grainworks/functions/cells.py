@@ -6,7 +6,7 @@ value in the field of that kind; homogeneous columns are kept as plain BIGINT, D
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DoubleType, LongType, StringType, StructType
 
@@ -17,33 +17,48 @@ FLOAT = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 CELL = "struct<k:string,b:boolean,i:bigint,f:double,s:string>"
 
 
-def trimmed(c: Column) -> Column:
-    return F.trim(c, F.lit(WHITE_SPACE))
+def _between(c: Column, low, high) -> Column:
+    return (c >= low) & (c <= high)
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def trimmed(c: Column) -> Column:
+    """Without white space at either end; a value between two visible ASCII characters is taken as it is, which is cheap to see."""
+    bare = _between(F.substring(c, 1, 1), "!", "~") & _between(F.substring(c, -1, 1), "!", "~")
+    return F.when(bare, c).otherwise(F.trim(c, F.lit(WHITE_SPACE)))
 
 
 def has_leading_zero(t: Column) -> Column:
     """A zero before another digit, after an optional minus: such a number is a code and stays text."""
-    return t.rlike("^-?0[0-9]")
+    digit = lambda at: _between(F.substring(t, at, 1), "0", "9")
+    return (t.startswith("0") & digit(2)) | (t.startswith("-0") & digit(3))
 
 
 def is_whole_number(t: Column) -> Column:
     return t.rlike("^-?[0-9]+$")
 
 
+def may_be_number(t: Column) -> Column:
+    """Starts with a sign, a point or a digit."""
+    return _between(F.substring(t, 1, 1), "+", "9")
+
+
 def as_int(t: Column) -> Column:
-    return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("bigint"))
+    """The cast takes an optional sign and digits; control characters around them, which it would drop, are ruled out first."""
+    return F.when(may_be_number(t) & _between(F.substring(t, -1, 1), "0", "9"), t.try_cast("bigint"))
+
+
+def special(t: Column) -> Column:
+    """The name of an infinity or of no number, in lower case without its sign, else NULL."""
+    name = F.regexp_replace(F.lower(t), r"^[+-]", "")
+    return F.when((F.octet_length(t) <= 9) & F.substring(t, 1, 1).isin(*"+-iInN"), F.when(name.isin("inf", "infinity", "nan"), name))
 
 
 def as_float(t: Column) -> Column:
-    name, sign = F.regexp_replace(ascii_lower(t), r"^[+-]", ""), F.when(t.startswith("-"), -1.0).otherwise(1.0)
+    name, sign = special(t), F.when(t.startswith("-"), -1.0).otherwise(1.0)
     return (
-        F.when(t.rlike(FLOAT), t.try_cast("double"))
-        .when(name.isin("inf", "infinity"), sign * F.lit(float("inf")))
+        F.when(may_be_number(t) & t.rlike(FLOAT), t.try_cast("double"))
         .when(name == "nan", F.lit(float("nan")))
+        .when(name.isNotNull(), sign * F.lit(float("inf")))
     )
 
 
@@ -52,49 +67,71 @@ def is_int(t: Column) -> Column:
 
 
 def is_float(t: Column) -> Column:
-    return ~has_leading_zero(t) & (t.rlike(FLOAT) | F.regexp_replace(ascii_lower(t), r"^[+-]", "").isin("inf", "infinity", "nan"))
+    return ~has_leading_zero(t) & ((may_be_number(t) & t.rlike(FLOAT)) | special(t).isNotNull())
 
 
 def is_bool(t: Column) -> Column:
-    return ascii_lower(t).isin(*TRUE_WORDS, *FALSE_WORDS)
+    return (F.octet_length(t) <= 5) & F.lower(t).isin(*TRUE_WORDS, *FALSE_WORDS)
 
 
-def looks_like_date(t: Column) -> Column:
-    """Digits and two or more of - / . in 6 to 10 characters; the shape only."""
-    return t.rlike(r"^[0-9./-]{6,10}$") & (F.length(F.regexp_replace(t, "[0-9]", "")) >= 2)
+def is_true(t: Column) -> Column:
+    return F.lower(t).isin(*TRUE_WORDS)
+
+
+#: bits of ``code``: not blank, and the tests that a value passes
+SOME, INT, REAL, NUMBER, BOOL, DATE = 1, 2, 4, 8, 16, 32
+
+
+def code(t: Column) -> Column:
+    """All tests of a trimmed value at once, as bits: each value is looked at once, and only by the tests that its first character allows."""
+    integer = as_int(t).isNotNull()
+    whole = F.when(integer, ~t.startswith("+")).otherwise(is_whole_number(t))
+    number = integer | t.rlike(FLOAT) | special(t).isNotNull()
+    bit = lambda test, n: F.when(test, n).otherwise(0)
+    numeric = F.when(has_leading_zero(t), 0).when(number, NUMBER + bit(integer, INT) + bit(~whole, REAL)).otherwise(0) + bit(looks_like_date(t), DATE)
+    other = bit(special(t).isNotNull(), NUMBER + REAL) + bit(is_bool(t), BOOL)
+    return F.when(t.isNull() | (t == ""), 0).when(may_be_number(t), SOME + numeric).otherwise(SOME + other)
 
 
-def cell(kind: str, value: Column) -> Column:
-    fields = {"b": ("bool", "boolean"), "i": ("int", "bigint"), "f": ("float", "double"), "s": ("text", "string")}
-    return F.struct(F.lit(kind).alias("k"), *[(value if kind == k else F.lit(None)).cast(t).alias(n) for n, (k, t) in fields.items()])
+def looks_like_date(t: Column) -> Column:
+    """Digits and two or more of - / . in 6 to 10 characters; the shape only."""
+    return _between(F.octet_length(t), 6, 10) & t.rlike(r"^[0-9./-]{6,10}$") & (F.length(F.regexp_replace(t, "[0-9]", "")) >= 2)
 
 
 def infer(raw: Column) -> Column:
-    """A cell from text by itself."""
+    """A cell from text by itself, as one expression; ``coded`` and ``of_code`` do the same for many columns without repeating work."""
     t = trimmed(raw)
-    number = ~has_leading_zero(t)
-    return (
-        F.when(raw.isNull() | (t == ""), F.lit(None).cast(CELL))
-        .when(number & as_int(t).isNotNull(), cell("int", as_int(t)))
-        .when(number & ~is_whole_number(t) & as_float(t).isNotNull(), cell("float", as_float(t)))
-        .when(is_bool(t), cell("bool", ascii_lower(t).isin(*TRUE_WORDS)))
-        .otherwise(cell("text", t))
-    )
+    return of_code(t, code(t))
 
 
-def convert(raw: Column, guess: str) -> Column:
-    """A cell of a column that was voted ``guess``; what does not fit stays text."""
-    t = trimmed(raw)
-    fits = {
-        "Integer": (~has_leading_zero(t) & as_int(t).isNotNull(), "int", as_int(t)),
-        "Float": (~has_leading_zero(t) & ~is_whole_number(t) & as_float(t).isNotNull(), "float", as_float(t)),
-        "Boolean": (is_bool(t), "bool", ascii_lower(t).isin(*TRUE_WORDS)),
-    }
-    out = F.when(raw.isNull() | (t == ""), F.lit(None).cast(CELL))
-    if guess in fits:
-        test, kind, value = fits[guess]
-        out = out.when(test, cell(kind, value))
-    return out.otherwise(cell("text", t))
+def coded(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
+    """The columns ``keep`` and, for each name, the trimmed text (``name_t``) and its code (``name``).
+
+    Each step is a projection of its own, so that a value is trimmed once and tested once whatever is made of it later.
+    """
+    trim = df.select(*keep, *[trimmed(c).alias(f"{n}_t") for n, c in values.items()])
+    return trim.select(*keep, *[x for n in values for x in (F.col(f"{n}_t"), code(F.col(f"{n}_t")).alias(n))])
+
+
+def inferred(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
+    """The columns ``keep`` and, under each name, the cell of a raw text column."""
+    return coded(df, values, keep).select(*keep, *[of_code(F.col(f"{n}_t"), F.col(n)).alias(n) for n in values])
+
+
+def has(bits: Column, test: int) -> Column:
+    return bits.bitwiseAND(test) > 0
+
+
+def of_code(t: Column, bits: Column, kinds: int = INT | REAL | BOOL) -> Column:
+    """A cell of a trimmed text: of the first of ``kinds`` that its code allows, else text; NULL if it is blank."""
+    tests = [(k, name) for k, name in ((INT, "int"), (REAL, "float"), (BOOL, "bool")) if k & kinds]
+    kind = F.lit("text")
+    for k, name in reversed(tests):
+        kind = F.when(has(bits, k), name).otherwise(kind)
+    only = lambda k, v: F.when(has(bits, k) & (~has(bits, INT) if k == REAL and kinds & INT else F.lit(True)), v) if k & kinds else F.lit(None)
+    other = ~has(bits, kinds) if kinds else F.lit(True)
+    cell = F.struct(kind.alias("k"), only(BOOL, is_true(t)).cast("boolean").alias("b"), only(INT, t.try_cast("bigint")).cast("bigint").alias("i"), only(REAL, as_float(t)).cast("double").alias("f"), F.when(other, t).alias("s"))
+    return F.when(bits > 0, cell)
 
 
 def double_text(d: Column) -> Column:

@@ -13,6 +13,10 @@ def modal_width(widths: Counter) -> int:
     return max(widths, key=lambda w: (widths[w], w)) if widths else 0
 
 
+def misfits(n: int, width: int) -> str:
+    return f"{n} row(s) had more or fewer than {width} fields and were cut or filled up"
+
+
 def numbered(names: list[str]) -> list[str]:
     """Repeated names get ``_2``, ``_3``, ...; a name that is already taken that way may still repeat."""
     seen: Counter = Counter()
@@ -46,16 +50,29 @@ def fitted(fields: Column, width: int) -> list[Column]:
     return [F.get(fields, F.lit(i)).alias(f"c{i}") for i in range(width)]
 
 
-def with_row(df: DataFrame, order: str | None = None) -> DataFrame:
-    """``_row`` from 0 without gaps in the order of the partitions: one count a partition goes through the driver."""
-    marked = df.withColumn("__id", F.monotonically_increasing_id())
-    sizes = {r[0]: r[1] for r in marked.groupBy(F.shiftright("__id", 33).alias("p")).count().collect()}
-    at, total = [], 0
+#: partitions whose bases fit into an expression; more are joined as a table
+BASES = 256
+
+
+def ranked(df: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """``df`` with ``_row`` in front: from 0 without gaps in the order of the partitions, whose row counts are given; no window, no shuffle."""
+    marked, base, total = df.withColumn("__id", F.monotonically_increasing_id()), [], 0
     for p in sorted(sizes):
-        at += [F.lit(p), F.lit(total)]
+        base.append((p, total))
         total += sizes[p]
-    base = F.element_at(F.create_map(*at), F.shiftright("__id", 33)) if at else F.lit(0)
-    return marked.select((base + F.col("__id").bitwiseAND((1 << 33) - 1)).cast("long").alias("_row"), *df.columns)
+    part, rank = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    if len(base) <= BASES:
+        start = F.element_at(F.create_map(*[F.lit(x) for pair in base for x in pair]), part) if base else F.lit(0)
+        return marked.select((start + rank).cast("long").alias("_row"), *df.columns)
+    table = df.sparkSession.createDataFrame(base, "__part long, __base long")  # one row a partition
+    return marked.withColumn("__part", part).join(F.broadcast(table), "__part").select((F.col("__base") + rank).cast("long").alias("_row"), *df.columns)
+
+
+def with_row(df: DataFrame) -> tuple[DataFrame, int]:
+    """(``ranked``, number of rows) by one count a partition."""
+    marked = df.select(F.shiftright(F.monotonically_increasing_id(), 33).alias("p"))
+    sizes = {r["p"]: r["count"] for r in marked.groupBy("p").count().collect()}
+    return ranked(df, sizes), sum(sizes.values())
 
 
 def spans(lines: DataFrame, line: str, share: float = 1.0) -> list[tuple[int, int]]:

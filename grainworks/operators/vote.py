@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainworks.functions import cells
@@ -28,12 +28,18 @@ class Votes:
     samples: list[str] | None = None
 
 
-def tallies(c: Column, name: str) -> list[Column]:
-    """The counts of one raw text column, as aggregate expressions."""
-    t = cells.trimmed(c)
-    some = c.isNotNull() & (t != "")
-    tests = {"Integer": cells.is_int(t), "Float": cells.is_float(t), "Boolean": cells.is_bool(t), "Date": cells.looks_like_date(t), "real": cells.is_float(t) & ~cells.is_whole_number(t)}
-    return [F.count_if(some).alias(f"{name}_total"), *[F.count_if(some & test).alias(f"{name}_{k}") for k, test in tests.items()]]
+_BITS = {"total": cells.SOME, "Integer": cells.INT, "Float": cells.NUMBER, "Boolean": cells.BOOL, "Date": cells.DATE, "real": cells.REAL}
+
+
+def tallies(name: str) -> list[Column]:
+    """The counts of one column of codes, as aggregate expressions."""
+    return [F.count_if(cells.has(F.col(name), bit)).alias(f"{name}_{k}") for k, bit in _BITS.items()]
+
+
+def counted(df: DataFrame, names: list[str]):
+    """The row of tallies of raw text columns, with their number of rows as ``n``: one job."""
+    codes = cells.coded(df, {n: F.col(n) for n in names})
+    return codes.agg(F.count("*").alias("n"), *[c for n in names for c in tallies(n)]).first()
 
 
 def votes(row, name: str) -> Votes:
@@ -57,37 +63,58 @@ def is_ambiguous(guess: str, confidence: float, v: Votes) -> bool:
     return confidence < 0.7
 
 
-def typed(c: Column, v: Votes, guess: str, ambiguous: bool) -> Column:
-    """A plain column where the counts prove that every value has one kind, else a column of cells."""
-    t = cells.trimmed(c)
-    blank = F.when(t != "", t)
+#: what a value of a column that was voted so may become; anything else stays text
+_KINDS = {"Integer": cells.INT, "Float": cells.REAL, "Boolean": cells.BOOL}
+
+
+def typed(t: Column, bits: Column, v: Votes, guess: str, ambiguous: bool) -> Column:
+    """A trimmed column and its codes as a plain column where the counts prove that every value has one kind, else as cells."""
+    some = bits > 0
     if ambiguous:
-        return cells.infer(c)
+        return cells.of_code(t, bits)
     if guess in ("Text", "Date"):
-        return blank
+        return F.when(some, t)
     if guess == "Integer" and v.Integer == v.total:
-        return cells.as_int(blank)
+        return F.when(some, t.try_cast("bigint"))
     if guess == "Float" and v.real == v.total:
-        return cells.as_float(blank)
+        return F.when(some, cells.as_float(t))
     if guess == "Boolean" and v.Boolean == v.total:
-        return cells.ascii_lower(blank).isin(*cells.TRUE_WORDS)
-    return cells.convert(c, guess)
+        return F.when(some, cells.is_true(t))
+    return cells.of_code(t, bits, _KINDS[guess])
+
+
+def simple(v: Votes, guess: str, ambiguous: bool) -> bool:
+    """Whether a column's values need no code: blank or not is all that differs."""
+    return not ambiguous and (guess in ("Text", "Date") or (guess == "Integer" and v.Integer == v.total) or (guess == "Float" and v.real == v.total) or (guess == "Boolean" and v.Boolean == v.total))
 
 
 def type_columns(raw: DataFrame, headers: list[str], counts, report, resolver: Resolver = rules) -> DataFrame:
     """``raw``: ``_row`` and text columns c0, ...; ``counts``: the row of tallies."""
-    out = []
-    for i, header in enumerate(headers):
-        v = votes(counts, f"c{i}")
-        if resolver is not rules:
-            t = cells.trimmed(F.col(f"c{i}"))
-            v.samples = [r[0] for r in raw.select(f"c{i}").where(t != "").limit(20).collect()]
+    names = [f"c{i}" for i in range(len(headers))]
+    samples = _samples(raw.select("_row", *[cells.trimmed(F.col(c)).alias(c) for c in names]), names) if resolver is not rules else {}
+    plan = {}
+    for c, header in zip(names, headers):
+        v = votes(counts, c)
+        v.samples = samples.get(c)
         guess, confidence = resolver(header, v)
         unsure = is_ambiguous(guess, confidence, v)
         if unsure:
-            report.info(f"column '{header}': type is ambiguous (best guess: {guess}, confidence {confidence:.2f}) - each value keeps the type it has by itself")
-        out.append(typed(F.col(f"c{i}"), v, guess, unsure).alias(f"c{i}"))
-    return raw.select("_row", *out)
+            report.info(f"column '{header}': the values do not agree on a type (nearest: {guess}, {confidence:.2f}), so each one is typed by itself")
+        plan[c] = (v, guess, unsure)
+    trimmed = raw.select("_row", *[cells.trimmed(F.col(c)).alias(f"{c}_t") for c in names])
+    blank = lambda t: F.when(t != "", 1).otherwise(0)
+    codes = trimmed.select("_row", *[x for c in names for t in [F.col(f"{c}_t")] for x in (t, (blank(t) if simple(*plan[c]) else cells.code(t)).alias(c))])
+    return codes.select("_row", *[typed(F.col(f"{c}_t"), F.col(c), *plan[c]).alias(c) for c in names])
+
+
+def _samples(trimmed: DataFrame, names: list[str], n: int = 20) -> dict[str, list[str]]:
+    """The first ``n`` values by row of every column, in one job: each is a minimum over the ranks of a column's values."""
+    long = trimmed.select("_row", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in names])).alias("x")).select("_row", "x.*").where("v <> ''")
+    ranked = long.withColumn("k", F.row_number().over(Window.partitionBy("c").orderBy("_row"))).where(f"k <= {n}")
+    out: dict[str, list[str]] = {c: [] for c in names}
+    for r in ranked.orderBy("c", "k").select("c", "v").collect():  # n rows a column; the window keeps no more than n of each while it sorts
+        out[r["c"]].append(r["v"])
+    return out
 
 
 def http_resolver(url: str, api_key: str, model: str, timeout: float = 10.0) -> Resolver:

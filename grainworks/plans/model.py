@@ -72,8 +72,15 @@ class Table:
 
 @dataclass
 class Outcome:
+    """``held``: what was cached while reading; ``release`` it when the tables are no longer needed."""
+
     tables: list[Table]
     report: Report
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 class Options(dict):

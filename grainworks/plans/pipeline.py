@@ -42,7 +42,7 @@ def _builtin(name: str):
         return lambda spark, path, filename, options, resolver: columnar.read(spark, path, filename, options, name)
     if name in ("json", "ini", "xlsx", "sqlite", "avro", "pdf"):
         return lambda spark, path, filename, options, resolver: files.read(spark, path, filename, options, name, resolver)
-    raise UnknownFormat(f"no parser is named '{name}'")
+    raise UnknownFormat(f"there is no reader called '{name}'")
 
 
 def detect_files(spark: SparkSession, path: str):
@@ -64,21 +64,29 @@ def detect_files(spark: SparkSession, path: str):
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(score, "path string, format string, score double")
 
 
+#: files up to the first size are read at once to detect their format; larger ones only where a part cannot tell, and no format
+#: that must be read as a whole can be read beyond the second one
+AT_ONCE, MOST_WHOLE = 64 << 20, 2 << 30
+
+
 def detect(path: str, spark: SparkSession | None = None) -> tuple[str, float]:
     """The format of one file: from its bytes if it is local, else where Spark can read it."""
     local = path.removeprefix("file:")
     if os.path.exists(local):
         size = os.path.getsize(local)
         with open(local, "rb") as f:
-            content = f.read() if size <= 64 << 20 else _sample(f, size)
+            content = f.read() if size <= AT_ONCE else _sample(f, size)
+            if AT_ONCE < size < MOST_WHOLE and sniff.needs_whole(content, os.path.basename(path)):
+                f.seek(0)
+                content = f.read()
         ranked = list(sniff.scores(content, os.path.basename(path)).items()) + [(n, s(content, os.path.basename(path))) for n, s in SNIFFERS.items()]
         best = max(((s, i, f) for i, (f, s) in enumerate(ranked) if s > 0), default=None)
         if best is None:
-            raise UnknownFormat(f"could not detect the format of {path}")
+            raise UnknownFormat(f"no known format fits {path}")
         return best[2], best[0]
     row = detect_files(spark, path).first()
     if row is None or row["format"] is None:
-        raise UnknownFormat(f"could not detect the format of {path}")
+        raise UnknownFormat(f"no known format fits {path}")
     return row["format"], row["score"]
 
 
@@ -125,8 +133,8 @@ def names(output: str, outcome: Outcome) -> list[str]:
     return [f"{stem}_{re.sub(r'[\W_]', '_', t.source or str(i))}{ext}" for i, t in enumerate(outcome.tables)]
 
 
-def clean(spark: SparkSession, path: str, output: str | None = None, *, fmt: str | None = None, options: dict | None = None, output_format: str | None = None, schema: Schema | None = None, on_violation: str = "warn", report_path: str | None = None, dry_run: bool = False, stream: bool = False, resolver: Resolver = rules) -> Result:
-    """One file from messy bytes to typed tables on disk."""
+def clean(spark: SparkSession, path: str, output: str | None = None, *, fmt: str | None = None, options: dict | None = None, output_format: str | None = None, schema: Schema | None = None, on_violation: str = "warn", report_path: str | None = None, dry_run: bool = False, stream: bool = False, parts: bool | None = None, resolver: Resolver = rules) -> Result:
+    """One file from messy bytes to typed tables on disk; ``parts``: a folder of part files instead of one file."""
     stem = os.path.splitext(path)[0]
     output = output or f"{stem}.clean.{output_format or 'csv'}"
     kind = sinks.output_format(output, output_format)
@@ -161,8 +169,9 @@ def clean(spark: SparkSession, path: str, output: str | None = None, *, fmt: str
         if dry_run:
             shown.append(preview(t, to, kind))
         else:
-            sinks.write(t, to, kind)
+            sinks.write(t, to, kind, parts)
             result.written.append(to)
+    outcome.release()
     result.preview = "\n".join(shown) if dry_run else None
     return result
 
@@ -171,10 +180,7 @@ def preview(table, path: str, kind: str) -> str:
     """What a write would change: nothing, a line diff, or the first lines of a new file."""
     if kind == "parquet":
         return f"{path}: parquet output has no text preview"
-    with tempfile.TemporaryDirectory() as d:
-        sinks.write(table, f"{d}/new", kind)
-        with open(f"{d}/new", encoding="utf-8") as f:
-            new = f.read().splitlines()
+    new = sinks.text_lines(table, kind)
     if not os.path.exists(path):
         return "\n".join([f"{path}: would be created", *new[:6]])
     with open(path, encoding="utf-8", errors="replace") as f:
@@ -190,9 +196,14 @@ def _write(path: str, text: str) -> None:
         f.write(text)
 
 
-def batch(spark: SparkSession, folder: str, output: str, *, output_format: str = "csv", workers: int = 4, **more) -> list[Result]:
-    """Every file of a folder, each by itself: a failing file is an error of its own; jobs of several files run side by side."""
-    os.makedirs(output, exist_ok=True)
+def batch(spark: SparkSession, folder: str, output: str, *, output_format: str = "csv", workers: int = 4, report_dir: str | None = None, **more) -> list[Result]:
+    """Every file of a folder, each by itself: a failing file is an error of its own; jobs of several files run side by side.
+
+    ``report_dir`` gets a report for each file that could be read, named after its output.
+    """
+    for d in (output, report_dir):
+        if d:
+            os.makedirs(d, exist_ok=True)
     entries = sorted(os.listdir(folder))
     files = [f for f in entries if os.path.isfile(os.path.join(folder, f))]
     stems = Counter(os.path.splitext(f)[0] for f in files)
@@ -201,7 +212,7 @@ def batch(spark: SparkSession, folder: str, output: str, *, output_format: str =
         stem, ext = os.path.splitext(name)
         to = f"{stem}_{ext[1:]}" if stems[stem] > 1 else stem
         try:
-            return clean(spark, os.path.join(folder, name), os.path.join(output, f"{to}.{output_format}"), output_format=output_format, **more)
+            return clean(spark, os.path.join(folder, name), os.path.join(output, f"{to}.{output_format}"), output_format=output_format, report_path=os.path.join(report_dir, f"{to}.report.json") if report_dir else None, **more)
         except EngineError as e:
             return Result(Report(name, "error"), error=str(e))
         except Exception as e:  # noqa: BLE001  one file must not stop the others

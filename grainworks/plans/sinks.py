@@ -91,8 +91,18 @@ def parts(df: DataFrame, path: str, fmt: str) -> list[str]:
     return [f"{local}/{f}" for f in sorted(os.listdir(local)) if f.startswith("part-")]
 
 
-def write(table: Table, path: str, fmt: str | None = None, folder: bool = False) -> None:
-    """One file at ``path``, or a folder of parts (which scales with the cluster and needs no shared local disk)."""
+def is_local(path: str) -> bool:
+    """On a disk that the driver sees as files."""
+    return "://" not in path or path.startswith("file:")
+
+
+def write(table: Table, path: str, fmt: str | None = None, folder: bool | None = None) -> None:
+    """A folder of parts, or one file at ``path``.
+
+    Without ``folder`` being said, a path of a distributed file system gets the folder, which every executor writes its part
+    of; only a path on the driver's disk gets one file, joined from parts there.
+    """
+    folder = not is_local(path) if folder is None else folder
     fmt = output_format(path, fmt)
     if fmt not in ("csv", "json", "parquet"):
         raise ExportError(f"unknown output format '{fmt}'")
@@ -111,6 +121,14 @@ def write(table: Table, path: str, fmt: str | None = None, folder: bool = False)
         spark.conf.set("spark.sql.caseSensitive", case)
 
 
+def text_lines(table: Table, fmt: str) -> list[str]:
+    """The lines of the one file that ``write`` would make, for a preview on the driver."""
+    rows = (csv_lines if fmt == "csv" else json_lines)(table).select("value")
+    made = [r["value"] for r in rows.toLocalIterator()]
+    text = "\n".join([csv_header(table.headers), *made]) if fmt == "csv" else "[\n" + ",\n".join(made) + "\n]" if made else "[]"
+    return text.splitlines()
+
+
 def _joined(made: list[str], path: str, fmt: str, table: Table) -> None:
     if fmt == "parquet":
         shutil.move(made[0], path)

@@ -57,7 +57,7 @@ SELECT l_orderkey, l_linenumber, k, CASE WHEN k = 'int' THEN TRY_CAST(t AS BIGIN
   CASE WHEN k = 'bool' THEN lower(t) IN ('true', 'yes') END AS b, CASE WHEN k = 'text' THEN t END AS s FROM c""")
 def cell_infer(spark, d):
     c = F.col("c")
-    return _mess(spark, d).select("l_orderkey", "l_linenumber", cells.infer(F.col("raw")).alias("c")).select("l_orderkey", "l_linenumber", *[c[x].alias(x) for x in "kifbs"])
+    return cells.inferred(_mess(spark, d), {"c": F.col("raw")}, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", *[c[x].alias(x) for x in "kifbs"])
 
 
 _COLUMNS = {
@@ -89,7 +89,7 @@ def _stacked(spark, d):
 
 @query(f"WITH s AS (SELECT *, trim(v) AS t FROM ({_STACK})), {_VOTE} SELECT * FROM a")
 def column_vote(spark, d):
-    row = _stacked(spark, d).agg(*[x for c in _COLUMNS for x in vote.tallies(F.col(c), c)]).first()
+    row = vote.counted(_stacked(spark, d), list(_COLUMNS))
     out = []
     for c in _COLUMNS:
         v = vote.votes(row, c)
@@ -111,7 +111,7 @@ def column_convert(spark, d):
 
     wide = _stacked(spark, d)
     raw = wide.select(F.col("o_orderkey").alias("_row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(_COLUMNS)])
-    counts = raw.agg(*[x for i in range(len(_COLUMNS)) for x in vote.tallies(F.col(f"c{i}"), f"c{i}")]).first()
+    counts = vote.counted(raw, [f"c{i}" for i in range(len(_COLUMNS))])
     typed = vote.type_columns(raw, list(_COLUMNS), counts, Report("orders", "csv"))
 
     def as_cell(i):
@@ -146,7 +146,11 @@ def _part_fields(spark, d):
 
 @query(f"SELECT CAST(len(f) AS BIGINT) AS width, count(*) AS n FROM ({_PARTS}) GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 1")
 def modal_width(spark, d):
-    return _part_fields(spark, d).groupBy(F.size("f").cast("long").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).limit(1)
+    from collections import Counter
+
+    widths = Counter({r["w"]: r["n"] for r in _part_fields(spark, d).groupBy(F.size("f").alias("w")).agg(F.count("*").alias("n")).collect()})
+    width = shape.modal_width(widths)
+    return spark.createDataFrame([(width, widths[width])], "width long, n long")
 
 
 @query(f"SELECT p_partkey, coalesce(f[1], '') AS c0, coalesce(f[2], '') AS c1, coalesce(f[3], '') AS c2, coalesce(f[4], '') AS c3, len(f) <> 4 AS misfit FROM ({_PARTS})")
@@ -178,39 +182,51 @@ def delimiter_stats(spark, d):
 _LINES = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, count(*) OVER (PARTITION BY doc_id) AS n, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> ''"
 
 
-def _doc_lines(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("some"))
-    return docs
+def _by_text(spark, d, table: str, key: str, text: str, f, schema: str) -> DataFrame:
+    """Rows of ``f(key, text)`` for every row of a table; a null text is left out."""
+
+    def run(batches):
+        import pandas as pd
+
+        names = [x.split()[0] for x in schema.split(", ")]
+        for b in batches:
+            yield pd.DataFrame([row for k, t in zip(b[key], b[text]) if t is not None for row in f(k, t)], columns=names)
+
+    return _t(spark, d, table).select(key, text).mapInPandas(run, schema)
 
 
-@query(f"SELECT doc_id, pos, line FROM ({_LINES}) WHERE n <= 4 OR pos <= 2 OR pos > n - 2")
+@query(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS pos, line FROM ({_LINES}) WHERE n <= 4 OR pos <= 2 OR pos > n - 2")
 def rep_lines(spark, d):
-    docs = _doc_lines(spark, d).select("doc_id", F.size("some").alias("n"), F.posexplode("some").alias("p", "line"))
-    return docs.where("n <= 4 or p < 2 or p >= n - 2").select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
+    return _by_text(spark, d, "documents", "doc_id", "text", lambda k, t: [(k, i, x) for i, x in enumerate(sniff.picked(t, 4), 1)], "doc_id long, pos long, line string")
+
+
+_NAKED = """regexp_replace(line, '"[^"]*("|$)', '', 'g')"""
 
 
-@query(f"""WITH c AS (SELECT doc_id, length(regexp_replace(line, '"[^"]*("|$)', '', 'g')) - length(replace(regexp_replace(line, '"[^"]*("|$)', '', 'g'), ',', '')) AS k FROM ({_LINES}) WHERE n <= 10 OR pos <= 5 OR pos > n - 5),
+@query(rf"""WITH l AS (SELECT *, {_NAKED} AS bare FROM ({_LINES})),
+k AS (SELECT doc_id, x.place, x.d, length(bare) - length(replace(bare, x.d, '')) AS k FROM l, (VALUES (0, ','), (1, ';'), (2, chr(9)), (3, '|')) x(place, d) WHERE n <= 30 OR pos <= 15 OR pos > n - 15),
+b AS (SELECT doc_id, d FROM (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY m - v DESC, place) AS best FROM (SELECT doc_id, place, d, avg(k) AS m, var_pop(k) AS v FROM k GROUP BY ALL) WHERE m >= 0.5) WHERE best = 1),
+c AS (SELECT l.doc_id, length(bare) - length(replace(bare, coalesce(d, ','), '')) AS k FROM l LEFT JOIN b ON b.doc_id = l.doc_id WHERE n <= 10 OR pos <= 5 OR pos > n - 5),
 a AS (SELECT doc_id, count(*) AS lines, avg(CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(k) AS m, var_pop(k) AS v FROM c GROUP BY doc_id)
-SELECT doc_id, round(CASE WHEN lines >= 2 AND p > 0.3 THEN 0.4 * p * (0.5 + 0.5 * least(1.0, greatest(0.0, 1 - v / (m * m + 1)))) ELSE 0.0 END, 4) AS score FROM a""")
+SELECT t.doc_id, round(CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{{9F}}]', '', 'g'))) <= length(text) AND lines >= 2 AND p > 0.3 THEN 0.4 * p * (0.5 + 0.5 * least(1.0, greatest(0.0, 1 - v / (m * m + 1)))) ELSE 0.0 END, 4) AS score
+FROM documents t LEFT JOIN a ON a.doc_id = t.doc_id WHERE text IS NOT NULL""")
 def csv_sniff_score(spark, d):
-    some = _doc_lines(spark, d).where(F.size("some") > 0).select("doc_id", F.when(F.size("some") <= 10, F.col("some")).otherwise(F.concat(F.slice("some", 1, 5), F.slice("some", -5, 5))).alias("s"))
-    k = some.select("doc_id", F.explode("s").alias("line")).select("doc_id", sniff.outside_quotes(F.col("line"), ",").alias("k"))
-    a = k.groupBy("doc_id").agg(F.count("*").alias("lines"), F.avg((F.col("k") > 0).cast("double")).alias("p"), F.avg("k").alias("m"), F.var_pop("k").alias("v"))
-    return a.select("doc_id", F.round(F.when((F.col("lines") >= 2) & (F.col("p") > 0.3), 0.4 * F.col("p") * (0.5 + 0.5 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("v") / (F.col("m") * F.col("m") + 1))))).otherwise(0.0), 4).alias("score"))
+    """How much each text looks like delimited data, by the engine's score of its bytes."""
+    return _by_text(spark, d, "documents", "doc_id", "text", lambda k, t: [(k, round(sniff.csv_score(t.encode(), ""), 4))], "doc_id long, score double")
 
 
-_ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+_ODD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}]"
 
 
 @query(f"""SELECT page_id, CAST(length(html) AS BIGINT) AS chars, CAST(length(html) - length(regexp_replace(html, '{_ODD}', '', 'g')) AS BIGINT) AS junk,
   100 * (length(html) - length(regexp_replace(html, '{_ODD}', '', 'g'))) > length(html) AS rejected FROM pages""")
 def junk_ratio(spark, d):
-    junk = F.length("html") - F.length(F.regexp_replace("html", _ODD, ""))
-    return _t(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("chars"), junk.cast("long").alias("junk"), (100 * junk > F.length("html")).alias("rejected"))
+    return _by_text(spark, d, "pages", "page_id", "html", lambda k, t: [(k, len(t), sniff.odd(t), bool(t) and sniff.is_junk(t))], "page_id long, chars long, junk long, rejected boolean")
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(split_part(text, chr(10), 1), '[ \t\r\f\v]+'), lambda x: x <> '') AS f FROM documents), w AS (SELECT max(len(f)) AS width FROM t)
-SELECT doc_id, CAST(len(f) AS BIGINT) AS tokens, coalesce(f[1], '') AS first, len(f) <> (SELECT width FROM w) AS ragged FROM t""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS pos FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE text IS NULL),
+t AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(line, '[ \t\r\f\v]+'), lambda x: x <> '') AS f FROM l), w AS (SELECT max(len(f)) AS width FROM t)
+SELECT doc_id, pos, CAST(len(f) AS BIGINT) AS tokens, coalesce(f[1], '') AS first, len(f) <> (SELECT width FROM w) AS ragged FROM t""")
 def ws_tokens(spark, d):
     """Tokens of every line, blank ones too; the width is the most tokens of any line, and a null text is one row."""
     lines = _t(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("p", "line"))
@@ -249,14 +265,21 @@ _INI = "concat('[ev', CAST(event_id % 50 AS {s}), ']', chr(10), 'user = \"u', CA
 
 @query("""SELECT event_id, concat('ev', CAST(event_id % 50 AS VARCHAR)) AS section, event_type AS type, CAST(user_id % 10 AS VARCHAR) AS "user" FROM events""")
 def ini_rows(spark, d):
-    """Each event as a small INI text, read back in DataFrame functions: the last of equal keys wins, comments and quotes go."""
+    """Each event as a small INI text, read by the engine: the last of equal keys wins, comments and quotes go."""
+    from grainworks.sources.files import parse
+
+    def rows(k, text):
+        t = parse("ini", text.encode(), "a.ini", {})["tables"][0]
+        return [(k, *[dict(zip(t["headers"], r))[c] for c in ("section", "type", "user")]) for r in t["rows"]]
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([x for k, t in zip(b["event_id"], b["text"]) for x in rows(k, t)], columns=["event_id", "section", "type", "user"])
+
     e = _t(spark, d, "events").select("event_id", F.expr(_INI.format(s="STRING")).alias("text"))
-    lines = e.select("event_id", F.filter(F.transform(F.split("text", "\n"), cells.trimmed), lambda x: (x != "") & ~x.rlike("^[#;]")).alias("l"))
-    rows = lines.select("event_id", F.regexp_extract(F.filter("l", lambda x: x.rlike(r"^\[.*\]$"))[0], r"^\[(.*)\]$", 1).alias("section"), F.posexplode(F.filter("l", lambda x: x.contains("="))).alias("p", "kv"))
-    key, raw = cells.trimmed(F.regexp_extract("kv", "^([^=]*)=", 1)), cells.trimmed(F.regexp_extract("kv", "^[^=]*=(.*)$", 1))
-    bare = F.regexp_replace(raw, r"[ \t]+[;#].*$", "")
-    value = F.regexp_replace(bare, r"""^(["'])(.*)\1$""", "$2")
-    return rows.select("event_id", "section", "p", key.alias("key"), value.alias("value")).groupBy("event_id", "section").pivot("key", ["type", "user"]).agg(F.max_by("value", "p"))
+    return e.mapInPandas(run, "event_id long, section string, type string, user string")
 
 
 _JSON = """concat('{"id": ', CAST(event_id AS {s}), ', "who": {"user": ', CAST(user_id AS {s}), ', "kind": "', event_type, '"}, "tags": ["a", ', CAST(event_id % 3 AS {s}), ', null], "flag": "', CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE '007' END, '", "none": {}}')"""
@@ -337,11 +360,12 @@ def junk_trim(spark, d):
 
 
 _GLYPH_WIDTH = 6.0
-_GLYPH = "SELECT l_orderkey, l_linenumber, l_linenumber * 6.0 + CASE WHEN l_linenumber > 3 THEN (l_partkey % 4) * 6.0 ELSE 0.0 END AS x, chr(CAST(97 + l_suppkey % 26 AS INTEGER)) AS ch FROM lineitem WHERE l_orderkey % 10 = 0"
+_GLYPH = "SELECT l_orderkey, l_linenumber, l_linenumber * 6.0 + CASE WHEN l_linenumber > 3 THEN (l_partkey % 4) * 6.0 ELSE 0.0 END AS x, chr(CAST(97 + l_suppkey % 26 AS INTEGER)) AS ch FROM lineitem"
 
 
-@query(f"""WITH g AS ({_GLYPH}), d AS (SELECT *, x - lag(x) OVER (PARTITION BY l_orderkey ORDER BY x, l_linenumber, ch) AS gap FROM g)
-SELECT l_orderkey, string_agg(concat(CASE WHEN gap - 6.0 > 0.8 * 6.0 THEN repeat(' ', CAST(greatest(1, round((gap - 6.0) / 6.0)) AS INTEGER)) ELSE '' END, ch), '' ORDER BY x, l_linenumber, ch) AS line FROM d GROUP BY l_orderkey""")
+@query(f"""WITH g AS ({_GLYPH}), d AS (SELECT *, x - lag(x) OVER (PARTITION BY l_orderkey ORDER BY x, l_linenumber, ch) AS gap FROM g),
+u AS (SELECT CAST(greatest(coalesce(list_sort(list(gap))[CAST(count(*) // 2 + 1 AS BIGINT)], 5.0), 0.5) AS DOUBLE) AS unit FROM d WHERE gap > 0.01)
+SELECT l_orderkey, string_agg(concat(CASE WHEN gap - 6.0 > 0.8 * unit THEN repeat(' ', CAST(greatest(1, round((gap - 6.0) / unit)) AS INTEGER)) ELSE '' END, ch), '' ORDER BY x, l_linenumber, ch) AS line FROM d, u GROUP BY l_orderkey""")
 def glyph_row_text(spark, d):
     g = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr("l_linenumber * 6.0D + CASE WHEN l_linenumber > 3 THEN (l_partkey % 4) * 6.0D ELSE 0.0D END").alias("x"), F.expr("chr(97 + l_suppkey % 26)").alias("ch"))
     g = g.withColumn("step", F.col("x") - F.lag("x").over(Window.partitionBy("l_orderkey").orderBy("x", "l_linenumber", "ch")))
@@ -356,14 +380,15 @@ def glyph_row_text(spark, d):
 
 
 def _order_table(spark, d):
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("_row"), F.col("o_orderkey").alias("c0"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("c1"), cells.infer(F.expr("CASE WHEN o_orderkey % 13 = 0 THEN 'oops' WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS STRING) ELSE concat(CAST(o_custkey AS STRING), '.5') END")).alias("c2"))
-    return Table(["id", "priority", "amount"], o, "orders")
+    amount = F.expr("CASE WHEN o_orderkey % 13 = 0 THEN 'oops' WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS STRING) ELSE concat(CAST(o_custkey AS STRING), '.5') END")
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("_row"), F.col("o_orderkey").alias("c0"), F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")).alias("c1"), amount.alias("raw"))
+    return Table(["id", "priority", "amount"], cells.inferred(o, {"c2": F.col("raw")}, ["_row", "c0", "c1"]), "orders")
 
 
 _SCHEMA = validate.Schema([validate.ColumnRule("id", "text"), validate.ColumnRule("priority", "text", False), validate.ColumnRule("amount", "float"), validate.ColumnRule("gone", "any")], True)
-_ISSUES = f"""SELECT NULL::BIGINT AS row, 'gone' AS "column", 'column declared in schema is missing from the table' AS message
+_ISSUES = f"""SELECT NULL::BIGINT AS row, 'gone' AS "column", '{validate.MISSING_MESSAGE}' AS message
 UNION ALL SELECT o_orderkey, 'priority', '{validate.NULL_MESSAGE}' FROM orders WHERE o_orderkey % 9 = 0
-UNION ALL SELECT o_orderkey, 'amount', 'expected float, got text ''oops''' FROM orders WHERE o_orderkey % 13 = 0"""
+UNION ALL SELECT o_orderkey, 'amount', 'should be float but is text: oops' FROM orders WHERE o_orderkey % 13 = 0"""
 
 
 @query(_ISSUES)
@@ -376,12 +401,15 @@ def validate_summary(spark, d):
     return validate.issues(_order_table(spark, d), _SCHEMA).groupBy("column").agg(F.count("*").alias("issues"), F.count("row").alias("row_issues"))
 
 
-@query(f"""WITH m AS ({_MESS_SQL}), t AS (SELECT l_orderkey % 4 AS grp, trim(raw) AS t FROM m), c AS (SELECT grp, {_CELL_SQL} AS k FROM t WHERE grp = 0 OR (grp = 1 AND t IN ('+42', '-9223372036854775808')) OR (grp = 2 AND (t IN ('+42', '.25') OR t = '')) OR (grp = 3 AND lower(t) IN ('yes', 'no', 'true')))
-SELECT grp, CASE WHEN count(k) = 0 THEN 'text' WHEN count(*) FILTER (k = 'int') = count(k) THEN 'int' WHEN count(*) FILTER (k IN ('int', 'float')) = count(k) THEN 'float' WHEN count(*) FILTER (k = 'bool') = count(k) THEN 'bool' ELSE 'text' END AS plan FROM c GROUP BY grp""")
+#: one column of each plan, over all rows
+_PLANNED = ["raw", "CASE n % 3 WHEN 0 THEN '+42' WHEN 1 THEN k ELSE '' END", "CASE n % 2 WHEN 0 THEN concat(k, '.25') ELSE k END", "CASE n % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' ELSE 'TRUE' END"]
+
+
+@query(f"""WITH n AS (SELECT l_orderkey * 3 + l_linenumber AS n, CAST(l_orderkey AS VARCHAR) AS k FROM lineitem), m AS (SELECT n, k, {_MESS} AS raw FROM n),
+t AS ({" UNION ALL ".join(f"SELECT {i} AS grp, trim({e}) AS t FROM m" for i, e in enumerate(_PLANNED))}), c AS (SELECT grp, {_CELL_SQL} AS k FROM t)
+SELECT CAST(grp AS BIGINT) AS grp, CASE WHEN count(k) = 0 THEN 'text' WHEN count(*) FILTER (k = 'int') = count(k) THEN 'int' WHEN count(*) FILTER (k IN ('int', 'float')) = count(k) THEN 'float' WHEN count(*) FILTER (k = 'bool') = count(k) THEN 'bool' ELSE 'text' END AS plan FROM c GROUP BY grp""")
 def sink_plan(spark, d):
-    m = _mess(spark, d).withColumn("grp", F.col("l_orderkey") % 4).withColumn("t", F.trim("raw"))
-    keep = F.expr("grp = 0 OR (grp = 1 AND t IN ('+42', '-9223372036854775808')) OR (grp = 2 AND (t IN ('+42', '.25') OR t = '')) OR (grp = 3 AND lower(t) IN ('yes', 'no', 'true'))")
-    wide = m.where(keep).select(F.lit(0).alias("_row"), *[F.when(F.col("grp") == i, cells.infer(F.col("t"))).alias(f"c{i}") for i in range(4)])
+    wide = cells.inferred(_mess(spark, d).withColumn("_row", F.lit(0)), {f"c{i}": F.expr(e) for i, e in enumerate(_PLANNED)}, ["_row"])
     return spark.createDataFrame(list(enumerate(sinks.column_plan(Table([f"g{i}" for i in range(4)], wide)))), "grp long, plan string")
 
 
@@ -431,9 +459,7 @@ def iso_render(spark, d):
     return o.select("o_orderkey", shown(F.col("t"), TimestampNTZType()).alias("moment"), shown(F.col("t").cast("date"), DateType()).alias("day"))
 
 
-_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-#: counted by the query, not by its SQL
-_MORE_TABLES = ["documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows_out FROM {t}" for t in _TABLES))
@@ -441,7 +467,7 @@ def report_rollup(spark, d):
     from grainworks.plans.pipeline import rollup
 
     out = None
-    for t in [*_TABLES, *_MORE_TABLES]:
+    for t in _TABLES:
         one = _t(spark, d, t).agg(F.count("*").alias("rows_in")).select(F.lit(t).alias("detected_format"), "rows_in", F.col("rows_in").alias("rows_out"))
         out = one if out is None else out.unionByName(one)
     return rollup(out).select(F.col("detected_format").alias("name"), "rows_out")
@@ -462,22 +488,11 @@ def diff_lines(spark, d):
 @query(f"WITH m AS ({_MESS_SQL}) SELECT count(*) AS n, CAST(0 AS BIGINT) AS changed FROM m")
 def idempotent_pass(spark, d):
     """Cleaning a cleaned value again changes nothing."""
-    once = _mess(spark, d).select(cells.infer(F.col("raw")).alias("a"))
+    once = cells.inferred(_mess(spark, d), {"a": F.col("raw")})
     t = once.schema["a"].dataType
-    twice = once.select("a", cells.infer(cells.export_text(F.col("a"), t)).alias("b"))
-    return twice.agg(F.count("*").alias("n"), F.count_if(cells.export_text(F.col("a"), t) != cells.export_text(F.col("b"), t)).alias("changed"))
-
-
-@query("""WITH f AS (SELECT page_id, page_id % 7 AS k FROM pages)
-SELECT page_id, CASE k WHEN 0 THEN 'xlsx' WHEN 1 THEN 'sqlite' WHEN 2 THEN 'parquet' WHEN 3 THEN 'avro' WHEN 4 THEN 'pdf' WHEN 5 THEN 'orc' END AS format FROM f""")
-def magic_detect(spark, d):
-    heads = ["504B0304", "53514C69746520666F726D6174203300", "50415231", "4F626A01", "255044462D"]
-    k = F.col("page_id") % 7
-    body = F.col("html").cast("binary")
-    content = F.when(k == 5, F.concat(body, F.unhex(F.lit("034F524317")))).when(k == 6, body)
-    for i, h in enumerate(heads):
-        content = F.when(k == i, F.concat(F.unhex(F.lit(h)), body)).otherwise(content)
-    return _t(spark, d, "pages").select("page_id", sniff.magic(content).alias("format"))
+    text = lambda df, c, to, *keep: df.select(*keep, cells.export_text(F.col(c), t).alias(to))
+    twice = text(cells.inferred(text(once, "a", "said"), {"b": F.col("said")}, ["said"]), "b", "again", "said")
+    return twice.agg(F.count("*").alias("n"), F.count_if(F.col("said") != F.col("again")).alias("changed"))
 
 
 @query("SELECT s_suppkey AS supplier_id, s_name AS name, CAST(s_nationkey AS BIGINT) AS nation FROM supplier")
@@ -505,3 +520,6 @@ def _scratch(spark: SparkSession) -> str:
     import tempfile
 
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainworks-")
+
+
+from grainworks import file_queries  # noqa: E402, F401  adds its queries

@@ -1,8 +1,11 @@
-"""ORC and Parquet through Spark's vectorised readers; Spark prunes columns and pushes filters down as usual."""
+"""ORC and Parquet through Spark's vectorised readers.
+
+``plain`` keeps Spark's column pruning and filter pushdown; ``read`` adds row numbers, under which a filter stays above the scan.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +25,7 @@ def value(c: Column, t: T.DataType) -> Column:
     if isinstance(t, T.DoubleType):
         return c
     if isinstance(t, T.StringType):
-        return cells.infer(c)
+        return c  # typed value by value in steps of their own, see read
     return shown(c, t)
 
 
@@ -56,12 +59,23 @@ def read(spark: SparkSession, path: str, filename: str, options: Options, fmt: s
         raise ParseError(fmt, "the file has no rows")
     df = df.toDF(*[f"x{i}" for i in range(len(df.columns))]) if len(set(map(str.lower, df.columns))) < len(df.columns) else df
     headers = unique(list(df.columns))
-    out = [value(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]
-    table = with_row(df.select(*out))
-    report.rows_in = report.rows_out = df.count()
+    table, n = with_row(plain(df))
+    report.rows_in = report.rows_out = n
     return Outcome([Table(headers, table, filename)], report)
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``c0``, ``c1``, ... of a columnar table without row numbers: filters on its columns and the choice of columns reach the file scan.
+
+    Text columns become cells beside their ``cI_t`` only where they are used; filter on ``df`` itself to push text conditions down.
+    """
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kinds = {c: f.dataType for c, f in zip(names, df.schema.fields)}
+    out = df.select(*[value(F.col(f"`{f.name}`"), f.dataType).alias(c) for c, f in zip(names, df.schema.fields)])
+    text = [c for c in names if isinstance(kinds[c], T.StringType)]
+    return cells.inferred(out, {c: F.col(c) for c in text}, [c for c in names if c not in text]).select(*names) if text else out
+
+
 def _by_arrow(spark: SparkSession, path: str, fmt: str, why: Exception):
     """Files with types that Spark's reader refuses (times of day, repeated names) through Arrow, if they are Parquet."""
     if fmt != "parquet":

@@ -14,10 +14,11 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainworks.functions import cells
 from grainworks.functions.encoding import decode
 from grainworks.functions.sniff import DELIMITERS, best_delimiter, nonblank
 from grainworks.operators import shape
-from grainworks.operators.vote import Resolver, rules, tallies, type_columns
+from grainworks.operators.vote import Resolver, counted, rules, tallies, type_columns
 from grainworks.plans.model import Options, Outcome, ParseError, Report, Table
 
 
@@ -51,7 +52,7 @@ def chosen_delimiter(options: Options, sample, report: Report) -> str:
         out = given
     else:
         if given is not None:
-            report.warning(f"ignoring invalid delimiter '{given}', detecting it instead")
+            report.warning(f"the delimiter '{given}' is not one byte; it is detected instead")
         out = best_delimiter(sample())
     report.info(f"detected delimiter: {out!r}")
     return out
@@ -68,7 +69,7 @@ def read(spark: SparkSession, path: str, filename: str, options: Options, resolv
     ids = text.withColumn("id", F.monotonically_increasing_id()).where("value <> ''")
     start = ids.limit(31).collect()
     if not start:
-        raise ParseError("csv", "no rows found")
+        raise ParseError("csv", "it holds no records")
     delimiter = chosen_delimiter(options, lambda: sample_lines(text, [r["value"] for r in start]), report)
     has_header = options.flag("has_header", True)
     rows = ids.withColumn("fields", tokens(F.col("value"), delimiter))
@@ -76,11 +77,11 @@ def read(spark: SparkSession, path: str, filename: str, options: Options, resolv
     data = rows.where(F.col("id") > start[0]["id"]) if has_header else rows
 
     def profile(width: int):
-        counts = [c for i in range(width) for c in tallies(F.get("fields", F.lit(i)), f"c{i}")]
         quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-        return data.groupBy(F.shiftright("id", 33).alias("part")).agg(
-            F.count("*").alias("n"), F.count_if(F.size("fields") == width).alias("fit"), F.count_if(quotes % 2 == 1).alias("odd"), F.count_if(~F.is_valid_utf8("value")).alias("bad"), *counts
-        ).collect()
+        seen = data.select("fields", F.shiftright("id", 33).alias("part"), (F.size("fields") == width).alias("fit"), (F.col("value").contains('"') & (quotes % 2 == 1)).alias("odd"), (~F.is_valid_utf8("value")).alias("bad"))
+        names = [f"c{i}" for i in range(width)]
+        codes = cells.coded(seen, {c: F.get("fields", F.lit(i)) for i, c in enumerate(names)}, ["part", "fit", "odd", "bad"])
+        return codes.groupBy("part").agg(F.count("*").alias("n"), *[F.count_if(k).alias(k) for k in ("fit", "odd", "bad")], *[t for c in names for t in tallies(c)]).collect()
 
     found = profile(len(first))
     if start[0]["value"].count('"') % 2 or sum(r["odd"] for r in found) or sum(r["bad"] for r in found) or "�" in start[0]["value"]:
@@ -96,16 +97,11 @@ def read(spark: SparkSession, path: str, filename: str, options: Options, resolv
             fit = sum(r["fit"] for r in found)
     headers = headers_of(first, width, has_header)
     if total > fit:
-        report.warning(f"{total - fit} row(s) had an inconsistent column count and were padded/truncated to {width} columns")
+        report.warning(shape.misfits(total - fit, width))
     counts = {k: sum(r[k] for r in found) for r0 in found[:1] for k in r0.asDict() if k[0] == "c"} or {c: 0 for c in _names(width)}
     for c in _names(len(headers)):
         counts.setdefault(c, 0)
-    base, at = [], 0
-    for r in sorted(found, key=lambda r: r["part"]):
-        base += [F.lit(r["part"]), F.lit(at)]
-        at += r["n"]
-    # a partition's first record is not always its first line, so ranks within a partition come from a running count
-    numbered = _ranked(data, base, found)
+    numbered = shape.ranked(data.drop("id"), {r["part"]: r["n"] for r in found})
     raw = numbered.select("_row", *[(F.get("fields", F.lit(i)) if i < width else F.lit(None).cast("string")).alias(f"c{i}") for i in range(len(headers))])
     report.rows_in = report.rows_out = total
     return Outcome([Table(headers, type_columns(raw, headers, counts, report, resolver), filename)], report)
@@ -115,14 +111,6 @@ def _names(width: int) -> list[str]:
     return [f"c{i}_{k}" for i in range(width) for k in ("total", "Integer", "Float", "Boolean", "Date", "real")]
 
 
-def _ranked(data: DataFrame, base: list, found: list) -> DataFrame:
-    """``_row``: the partition's base plus the record's rank in it; no window, no shuffle."""
-    if not base:
-        return data.withColumn("_row", F.lit(0).cast("long"))
-    fresh = data.drop("id").withColumn("id", F.monotonically_increasing_id())  # counts what is left after blank lines and the header
-    return fresh.withColumn("_row", (F.element_at(F.create_map(*base), F.shiftright("id", 33)) + F.col("id").bitwiseAND((1 << 33) - 1)).cast("long"))
-
-
 def records(text: str, delimiter: str) -> list[list[str]]:
     """All records of a text in memory, quotes over several lines included; blank lines are dropped."""
     csv.field_size_limit(1 << 30)
@@ -147,9 +135,9 @@ def _whole(spark: SparkSession, path: str, filename: str, options: Options, repo
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "id long, fields array<string>, label string").persist()
     first = rows.where("id = 0").first()
     if first is None:
-        raise ParseError("csv", "no rows found")
+        raise ParseError("csv", "it holds no records")
     if first["label"] != "UTF-8":
-        report.warning(f"input was not valid UTF-8; decoded using detected encoding {first['label']}")
+        report.warning(f"the bytes are not UTF-8 and were read as {first['label']}")
     has_header = options.flag("has_header", True)
     widths = Counter({r["w"]: r["n"] for r in rows.groupBy(F.size("fields").alias("w")).agg(F.count("*").alias("n")).collect()})
     width = shape.modal_width(widths)
@@ -157,9 +145,9 @@ def _whole(spark: SparkSession, path: str, filename: str, options: Options, repo
     data = rows.where("id > 0") if has_header else rows
     misfit = sum(n for w, n in widths.items() if w != width) - (has_header and len(first["fields"]) != width)
     if misfit:
-        report.warning(f"{misfit} row(s) had an inconsistent column count and were padded/truncated to {width} columns")
+        report.warning(shape.misfits(misfit, width))
     raw = data.select((F.col("id") - int(has_header)).alias("_row"), *[(F.get("fields", F.lit(i)) if i < width else F.lit(None).cast("string")).alias(f"c{i}") for i in range(len(headers))])
-    counts = raw.agg(F.count("*").alias("n"), *[c for i in range(len(headers)) for c in tallies(F.col(f"c{i}"), f"c{i}")]).first()
+    counts = counted(raw, [f"c{i}" for i in range(len(headers))])
     report.rows_in = report.rows_out = counts["n"]
     return Outcome([Table(headers, type_columns(raw, headers, counts, report, resolver), filename)], report)
 

@@ -375,6 +375,6 @@ def read(content: bytes, filename: str, options: dict) -> dict:
     found = spans(lines)
     if len(found) < 2:
         raise ValueError("no table columns could be told apart")
-    notes.append(("info", f"inferred {len(found)} column(s) from whitespace alignment in the extracted text"))
+    notes.append(("info", f"{len(found)} column(s) told by gaps that run down the page"))
     rows = [cut(x, found) for x in lines]
     return {"label": "pdf", "notes": notes, "rows_in": len(rows) - 1, "raw": True, "tables": [{"source": None, "headers": numbered(named(rows[0])), "rows": rows[1:]}]}

@@ -179,9 +179,9 @@ def read(kind: str, text: str, options: dict) -> dict:
     headers = sorted({k for row in flat for k in row})
     notes = [("warning", f"{kind} support is experimental: flattening follows one simple documented rule")]
     if key is not None:
-        notes.append(("info", f"used array found under key '{key}' as the row source"))
+        notes.append(("info", f"the records are the list under '{key}'"))
     if explode and len(flat) != len(found):
-        notes.append(("info", f"array_mode=explode: {len(found)} input record(s) expanded into {len(flat)} row(s)"))
+        notes.append(("info", f"{len(found)} record(s) made {len(flat)} row(s), one for each list item"))
     if any(len(row) != len(headers) for row in flat):
-        notes.append(("info", "records did not all share the same shape; missing fields were filled with null"))
+        notes.append(("info", "not every record has every field; absent ones are null"))
     return {"label": kind, "notes": notes, "rows_in": len(found), "tables": [{"source": None, "headers": headers, "rows": [[row.get(h) for h in headers] for row in flat]}]}

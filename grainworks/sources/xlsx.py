@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import io
 import re
 import zipfile
@@ -13,17 +14,26 @@ from grainworks.sources.trees import infer
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_V = f"{_M}v"
 #: built-in number formats that show dates or times (fixed values)
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58}
 
 
-def place(ref: str) -> tuple[int, int]:
-    """(row, column) from 0 of a cell name such as ``BC12``."""
-    letters, digits = re.fullmatch(r"\$?([A-Za-z]+)\$?([0-9]+)", ref).groups()
+_PLACE = re.compile(r"\$?([A-Za-z]+)\$?([0-9]+)")
+
+
+@functools.lru_cache(4096)
+def column(letters: str) -> int:
     col = 0
     for c in letters.upper():
         col = col * 26 + ord(c) - 64
-    return int(digits) - 1, col - 1
+    return col - 1
+
+
+def place(ref: str) -> tuple[int, int]:
+    """(row, column) from 0 of a cell name such as ``BC12``."""
+    letters, digits = _PLACE.fullmatch(ref).groups()
+    return int(digits) - 1, column(letters)
 
 
 def moment(serial: float, epoch_1904: bool) -> str:
@@ -64,22 +74,36 @@ class Workbook:
             raise ValueError(f"{name}: {e}") from None
 
     def cells(self, path: str) -> tuple[dict, list]:
-        """({(row, col): cell}, merged regions)."""
-        sheet, out, last_row = self._xml(path), {}, -1
-        for row in sheet.iter(f"{_M}row"):
-            at = int(row.get("r")) - 1 if row.get("r") else last_row + 1
-            last_row, last_col = at, -1
-            for c in row.iter(f"{_M}c"):
-                r, col = place(c.get("r")) if c.get("r") else (at, last_col + 1)
-                last_col = col
-                got = self._cell(c)
-                if got is not None:
-                    out[r, col] = got
-        regions = [(*place(a), *place(b)) for m in sheet.iter(f"{_M}mergeCell") for a, _, b in [m.get("ref", "A1").partition(":")] if b]
+        """({(row, col): cell}, merged regions), a row of the sheet's XML at a time."""
+        out, regions, last_row = {}, [], -1
+        try:
+            with self.zip.open(path) as f:
+                for _, row in ElementTree.iterparse(f, ("end",)):
+                    if row.tag == f"{_M}mergeCell":
+                        a, _, b = row.get("ref", "A1").partition(":")
+                        if b:
+                            regions.append((*place(a), *place(b)))
+                    if row.tag != f"{_M}row":
+                        continue
+                    at = int(row.get("r")) - 1 if row.get("r") else last_row + 1
+                    last_row, last_col = at, -1
+                    for c in row:
+                        if c.tag != f"{_M}c":
+                            continue
+                        ref = c.get("r")
+                        r, col = place(ref) if ref else (at, last_col + 1)
+                        last_col = col
+                        got = self._cell(c)
+                        if got is not None:
+                            out[r, col] = got
+                    row.clear()
+        except (KeyError, ElementTree.ParseError, zipfile.BadZipFile, RuntimeError) as e:
+            raise ValueError(f"{path}: {e}") from None
         return out, regions
 
     def _cell(self, c):
-        kind, v = c.get("t", "n"), c.findtext(f"{_M}v")
+        kind = c.get("t", "n")
+        v = next((x.text or "" for x in c if x.tag == _V), None)
         if kind == "inlineStr":
             return _text("".join(t.text or "" for t in c.iter(f"{_M}t")))
         if v is None:

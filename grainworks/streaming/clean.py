@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainworks.functions.sniff import best_delimiter, picked
+from grainworks.operators.shape import misfits
 from grainworks.plans.model import Options, Report
 from grainworks.plans.sinks import csv_header, quoted
 from grainworks.sources.delimited import lines, records, tokens
@@ -48,11 +49,11 @@ def stream_clean(spark: SparkSession, path: str, output: str, options: dict | No
     report = Report(name, "csv")
     given = options.get("delimiter")
     if given is not None and len(given.encode()) != 1:
-        report.warning(f"ignoring invalid delimiter '{given}', detecting it instead")
+        report.warning(f"the delimiter '{given}' is not one byte; it is detected instead")
         given = None
     delimiter = given or best_delimiter(picked(text, 30))
     report.info(f"detected delimiter: {delimiter!r}")
-    report.info("streaming mode: bounded memory, single pass")
+    report.info("read as a stream, a record at a time")
     start = records(text, delimiter)
     if not start:
         open(output, "w").close()
@@ -89,7 +90,7 @@ def stream_clean(spark: SparkSession, path: str, output: str, options: dict | No
 
 def _misfit(report: Report, n: int, width: int) -> None:
     if n:
-        report.warning(f"{n} row(s) had an inconsistent column count and were padded/truncated to {width} columns")
+        report.warning(misfits(n, width))
 
 
 def _records(path: str, output: str, delimiter: str, width: int, has_header: bool, report: Report) -> Report:
@@ -117,7 +118,7 @@ def _whole(spark: SparkSession, path: str, output: str, options: Options) -> Rep
     from grainworks.sources import delimited
 
     outcome = delimited.read(spark, path, os.path.basename(path), options)
-    outcome.report.warning("input was not valid UTF-8; streaming mode read the whole file, since its encoding has to be guessed from its content")
+    outcome.report.warning("the bytes are not UTF-8; the file was read in full, since only its content tells the encoding")
     sinks.write(outcome.tables[0], output, "csv")
     return outcome.report
 

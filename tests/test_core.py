@@ -82,7 +82,7 @@ def test_csv_encodings_quotes_and_headers(spark, tmp_path):
     assert lines(pipeline.clean(spark, put(tmp_path / "b.csv", b"\xef\xbb\xbfid,id,name\n1,2,x\n"), str(tmp_path / "b.out")).written[0])[0] == "id,id_2,name"
     p = put(tmp_path / "w.csv", "name;city\nRené;Orléans\n".encode("cp1252"))
     r = pipeline.clean(spark, p, str(tmp_path / "w.out"))
-    assert lines(tmp_path / "w.out")[1] == "René,Orléans" and any("not valid UTF-8" in n.message for n in r.report.notes)
+    assert lines(tmp_path / "w.out")[1] == "René,Orléans" and any("not UTF-8" in n.message for n in r.report.notes)
     p = put(tmp_path / "m.csv", 'a,b\n1,"two\nlines ""q"""\n2,x\n')
     pipeline.clean(spark, p, str(tmp_path / "m.out"))
     assert "\n".join(lines(tmp_path / "m.out")) == 'a,b\n1,"two\nlines ""q"""\n2,x\n'
@@ -95,7 +95,7 @@ def test_csv_options(spark, tmp_path):
     t = pipeline.read(spark, p, "csv", {"has_header": "no", "delimiter": "|"}).tables[0]
     assert t.headers == ["column_1", "column_2"] and t.df.count() == 2
     r = pipeline.read(spark, p, "csv", {"delimiter": "\\t"}).report
-    assert any("invalid delimiter" in n.message for n in r.notes)
+    assert any("not one byte" in n.message for n in r.notes)
 
 
 def test_cleaning_twice_changes_nothing(spark, tmp_path):
@@ -126,7 +126,7 @@ def test_fixed_and_whitespace(spark, tmp_path):
     t = pipeline.read(spark, p, "fixed", {"has_header": "true"}).tables[0]
     assert t.headers == ["name", "age", "city"] and [r.c1 for r in t.df.orderBy("_row").collect()] == [30, 22]
     t = pipeline.read(spark, put(tmp_path / "a.log", "a b c\nd e\n"), "fixed", {"mode": "whitespace"})
-    assert t.tables[0].headers == ["field_1", "field_2", "field_3"] and any("different token count" in n.message for n in t.report.notes)
+    assert t.tables[0].headers == ["field_1", "field_2", "field_3"] and any("more or fewer fields" in n.message for n in t.report.notes)
 
 
 def test_ini_and_env(spark, tmp_path):
