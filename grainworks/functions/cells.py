@@ -43,14 +43,14 @@ def may_be_number(t: Column) -> Column:
 
 
 def as_int(t: Column) -> Column:
-    """The cast takes an optional sign and digits; control characters around them, which it would drop, are ruled out first."""
-    return F.when(may_be_number(t) & _between(F.substring(t, -1, 1), "0", "9"), t.try_cast("bigint"))
+    """An optional sign and digits; the cast, whose failures are slow, is left with numbers that are too long."""
+    return F.when(may_be_number(t) & _between(F.substring(t, -1, 1), "0", "9") & t.rlike("^[+-]?[0-9]+$"), t.try_cast("bigint"))
 
 
 def special(t: Column) -> Column:
     """The name of an infinity or of no number, in lower case without its sign, else NULL."""
     name = F.regexp_replace(F.lower(t), r"^[+-]", "")
-    return F.when((F.octet_length(t) <= 9) & F.substring(t, 1, 1).isin(*"+-iInN"), F.when(name.isin("inf", "infinity", "nan"), name))
+    return F.when(F.substring(t, 1, 1).isin(*"+-iInN") & (F.octet_length(t) <= 9), F.when(name.isin("inf", "infinity", "nan"), name))
 
 
 def as_float(t: Column) -> Column:
@@ -84,11 +84,9 @@ SOME, INT, REAL, NUMBER, BOOL, DATE = 1, 2, 4, 8, 16, 32
 
 def code(t: Column) -> Column:
     """All tests of a trimmed value at once, as bits: each value is looked at once, and only by the tests that its first character allows."""
-    integer = as_int(t).isNotNull()
-    whole = F.when(integer, ~t.startswith("+")).otherwise(is_whole_number(t))
-    number = integer | t.rlike(FLOAT) | special(t).isNotNull()
     bit = lambda test, n: F.when(test, n).otherwise(0)
-    numeric = F.when(has_leading_zero(t), 0).when(number, NUMBER + bit(integer, INT) + bit(~whole, REAL)).otherwise(0) + bit(looks_like_date(t), DATE)
+    number = F.when(t.rlike(FLOAT), NUMBER + bit(~is_whole_number(t), REAL)).when(special(t).isNotNull(), NUMBER + REAL).otherwise(0)
+    numeric = F.when(as_int(t).isNotNull(), F.when(has_leading_zero(t), 0).otherwise(NUMBER + INT + bit(t.startswith("+"), REAL))).otherwise(bit(looks_like_date(t), DATE) + F.when(has_leading_zero(t), 0).otherwise(number))
     other = bit(special(t).isNotNull(), NUMBER + REAL) + bit(is_bool(t), BOOL)
     return F.when(t.isNull() | (t == ""), 0).when(may_be_number(t), SOME + numeric).otherwise(SOME + other)
 
@@ -107,15 +105,25 @@ def infer(raw: Column) -> Column:
 def coded(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
     """The columns ``keep`` and, for each name, the trimmed text (``name_t``) and its code (``name``).
 
-    Each step is a projection of its own, so that a value is trimmed once and tested once whatever is made of it later.
+    All values of a row go through one lambda each: the tests are in the plan once, however many columns there are (as a
+    projection of every column they would make methods too long for the JVM to compile), and each step is a projection
+    of its own, so that a value is trimmed once and tested once whatever is made of it later.
     """
-    trim = df.select(*keep, *[trimmed(c).alias(f"{n}_t") for n, c in values.items()])
-    return trim.select(*keep, *[x for n in values for x in (F.col(f"{n}_t"), code(F.col(f"{n}_t")).alias(n))])
+    both = _codes(df.select(*keep, F.array(*values.values()).alias("_v")), keep) if values else df.select(*keep)
+    return both.select(*keep, *[x for i, n in enumerate(values) for x in (F.get("_t", F.lit(i)).alias(f"{n}_t"), F.get("_k", F.lit(i)).alias(n))])
+
+
+def _codes(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, the trimmed texts ``_t`` and the codes ``_k`` of an array ``_v``."""
+    return df.select(*keep, F.transform("_v", trimmed).alias("_t")).select(*keep, "_t", F.transform("_t", code).alias("_k"))
 
 
 def inferred(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
     """The columns ``keep`` and, under each name, the cell of a raw text column."""
-    return coded(df, values, keep).select(*keep, *[of_code(F.col(f"{n}_t"), F.col(n)).alias(n) for n in values])
+    if not values:
+        return df.select(*keep)
+    made = _codes(df.select(*keep, F.array(*values.values()).alias("_v")), keep).select(*keep, F.zip_with("_t", "_k", lambda t, k: of_code(t, k)).alias("_c"))
+    return made.select(*keep, *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(values)])
 
 
 def has(bits: Column, test: int) -> Column:

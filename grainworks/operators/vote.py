@@ -101,9 +101,11 @@ def type_columns(raw: DataFrame, headers: list[str], counts, report, resolver: R
         if unsure:
             report.info(f"column '{header}': the values do not agree on a type (nearest: {guess}, {confidence:.2f}), so each one is typed by itself")
         plan[c] = (v, guess, unsure)
-    trimmed = raw.select("_row", *[cells.trimmed(F.col(c)).alias(f"{c}_t") for c in names])
-    blank = lambda t: F.when(t != "", 1).otherwise(0)
-    codes = trimmed.select("_row", *[x for c in names for t in [F.col(f"{c}_t")] for x in (t, (blank(t) if simple(*plan[c]) else cells.code(t)).alias(c))])
+    if all(simple(*plan[c]) for c in names):
+        trimmed = raw.select("_row", F.transform(F.array(*names), cells.trimmed).alias("_t"))
+        some = lambda t: F.when(t != "", 1).otherwise(0)
+        return trimmed.select("_row", *[typed(t, some(t), *plan[c]).alias(c) for i, c in enumerate(names) for t in [F.get("_t", F.lit(i))]])
+    codes = cells.coded(raw, {c: F.col(c) for c in names}, ["_row"])
     return codes.select("_row", *[typed(F.col(f"{c}_t"), F.col(c), *plan[c]).alias(c) for c in names])
 
 

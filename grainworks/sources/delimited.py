@@ -22,9 +22,25 @@ from grainworks.operators.vote import Resolver, counted, rules, tallies, type_co
 from grainworks.plans.model import Options, Outcome, ParseError, Report, Table
 
 
+#: what opening a file counts as when scans are cut: less than Spark's default, so that a file of a few MB keeps all cores busy
+OPEN_COST = 512 << 10
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` that nobody changes later: a scan made in it has the same partitions whenever
+    it runs, which row numbers by partition rely on."""
+    child = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and child.conf.isModifiable(k):
+            child.conf.set(k, v)
+    child.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+    child.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)  # longer methods are never compiled by the JVM: wide tables are split instead
+    return child
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(value): the lines of a file, without a byte order mark."""
-    return spark.read.text(path).select(F.when(F.col("value").startswith("﻿"), F.substring("value", 2, 2147483647)).otherwise(F.col("value")).alias("value"))
+    return own_session(spark).read.text(path).select(F.when(F.col("value").startswith("﻿"), F.substring("value", 2, 2147483647)).otherwise(F.col("value")).alias("value"))
 
 
 def tokens(line: Column, delimiter: str) -> Column:
