@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,20 +28,33 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+#: ids that are sent to every task: 16 MB of a hash table at most
+SENT_IDS = 500_000
+_CLEAN, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def cut(df: DataFrame, batch: str | None = None) -> DataFrame:
     """``df`` written to the shared checkpoint folder and reread, so that a lost executor costs no recomputation.
 
-    ``batch`` bounds the bytes of an Arrow batch while it is made, for stages whose rows are wide.
+    The shuffle files that it was made from go when it is written: no step needs the disk of the one before.  ``batch``
+    bounds the bytes of an Arrow batch while it is made, for stages whose rows are wide.
     """
-    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(name)
+    own = {_CLEAN: "true"} | ({_BATCH: batch} if batch else {})
+    before = {name: spark.conf.get(name) for name in own}
     try:
-        if batch:
-            spark.conf.set(name, batch)
-        return df.checkpoint(eager=True)
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: it takes the settings when it is made
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """Written ids, marked to be sent to every task if they are at most SENT_IDS, so that what they meet is not shuffled."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
 def input_bytes(df: DataFrame, column: str) -> int:
@@ -54,7 +68,7 @@ def input_bytes(df: DataFrame, column: str) -> int:
 def parts(df: DataFrame, column: str, bytes_each: int) -> int:
     """Partitions for ``df`` so that each holds about ``bytes_each`` of its (compressed) input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, -(-input_bytes(df, column) // bytes_each)))
+    return max(least, -(-input_bytes(df, column) // bytes_each))
 
 
 def map_slices(df: DataFrame, column: str, fn, schema: str) -> DataFrame:
@@ -74,3 +88,24 @@ def map_slices(df: DataFrame, column: str, fn, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) and a.type == f.type else pa.array(a, f.type) for a, f in zip(made, kinds, strict=True)], schema=kinds)
 
     return df.mapInArrow(run, schema)
+
+
+def map_rows(df: DataFrame, column: str, fn) -> DataFrame:
+    """``fn(record batch, place of column) -> record batch`` over slices of bounded text size; columns, and any names, stay.
+
+    Python sees columns by place: Spark cannot hand over names with dots.
+    """
+    from pyspark.sql.types import StructField, StructType
+
+    from grainworks.llm.text import slices
+
+    at = df.columns.index(column)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    kinds = StructType([StructField(n, f.dataType) for n, f in zip(names, df.schema.fields)])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                yield fn(part, at)
+
+    return df.toDF(*names).mapInArrow(run, kinds).toDF(*df.columns)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainworks.llm.frames import cut, free, map_slices
+from grainworks.llm.frames import cut, free, map_slices, sent
 from grainworks.llm.graph import components
 from grainworks.llm.text import Words, bytes_of, chained, lower, mix, slices
 
@@ -50,8 +50,6 @@ HOT, MOST_HOT = 128, 1 << 21
 COLD_SHARE, BANDS, BAND = 0.4, 20, 4
 #: members, and shingles in all, that one task compares
 LIST, WEIGHT = 2048, 1 << 22
-#: ids that are sent to every task: 16 MB of a hash table at most
-SENT_IDS = 500_000
 _PAD = np.uint32(0xFFFFFFFF)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -231,9 +229,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _some(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts with a wanted id: up to SENT_IDS ids their list goes to the scan, so that no other text is shuffled."""
-    ids = cut(wanted.distinct())
-    return texts.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= SENT_IDS else texts.join(ids, "id", "left_semi")
+    """The texts with a wanted id: where the ids can be sent to the scan, no other text is shuffled."""
+    return texts.join(sent(cut(wanted.distinct())), "id", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -358,4 +355,4 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", percent
     """The rows of ``docs``, all columns, that are the smallest id of their group."""
     name = free("gone", docs.columns)
     gone = groups(docs, text, key, percent).where("not kept").select(F.col(key).alias(name)).distinct()
-    return docs.join(gone, docs[key].cast("long") == F.col(name), "left_anti")
+    return docs.join(sent(cut(gone)), docs[key].cast("long") == F.col(name), "left_anti")

@@ -12,10 +12,11 @@ empty table; extra columns are ignored by ``measure`` and kept by ``keep``.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from grainworks.llm.frames import map_slices
-from grainworks.llm.text import Words, bytes_of, covered, mix, points, repeated, rolled, slices, span_hashes
+from grainworks.llm.frames import map_rows, map_slices
+from grainworks.llm.text import Words, bytes_of, covered, mix, points, repeated, rolled, span_hashes
 
 #: n-gram length -> largest share of word characters that may lie inside repeated n-grams of that length
 LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -90,14 +91,8 @@ def measure(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    names = docs.columns
 
-    def run(batches):
-        import pyarrow as pa
+    def run(part, at):
+        return part.filter(pa.array(measures(*bytes_of(part.column(at)))[-1]))
 
-        for batch in batches:
-            for part in slices(batch, text):
-                good = measures(*bytes_of(part.column(names.index(text))))[-1]
-                yield part.filter(pa.array(good))
-
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, text, run)

@@ -20,10 +20,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from grainworks.llm.frames import map_slices
-from grainworks.llm.text import bytes_of, slices
+from grainworks.llm.frames import map_rows, map_slices
+from grainworks.llm.text import bytes_of
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -206,18 +207,12 @@ def masked(data: np.ndarray, off: np.ndarray) -> list[str]:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with all columns, secrets in ``text`` masked; a null text stays null."""
-    names = docs.columns
-    i = names.index(text)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, text):
-                col = part.column(i)
-                new = pa.array(masked(*bytes_of(col)), col.type)
-                if col.null_count:
-                    import pyarrow.compute as pc
+    def run(part, at):
+        col = part.column(at)
+        new = pa.array(masked(*bytes_of(col)), col.type)
+        if col.null_count:
+            new = pc.if_else(col.is_valid(), new, pa.scalar(None, col.type))
+        return part.set_column(at, part.schema.field(at), new)
 
-                    new = pc.if_else(col.is_valid(), new, pa.scalar(None, col.type))
-                yield part.set_column(i, part.schema.field(i), new)
-
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, text, run)
