@@ -121,7 +121,7 @@ def infer(raw: str) -> tuple[str, object] | None:
     t = raw.strip()
     if not t:
         return None
-    if not re.match("-?0[0-9]", t):
+    if t[0] in "+-.0123456789iInN" and not re.match("-?0[0-9]", t):
         if re.fullmatch("[+-]?[0-9]+", t, re.ASCII) and -(1 << 63) <= int(t) < 1 << 63:
             return "int", int(t)
         if not WHOLE.fullmatch(t) and (NUMBER.fullmatch(t) or re.fullmatch("[+-]?(inf|infinity|nan)", t, re.I | re.A)):

@@ -8,13 +8,15 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 from grainworks.operators.shape import named, numbered
 from grainworks.sources.trees import infer
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-_V = f"{_M}v"
+#: names as expat gives them
+_C, _VALUE, _T, _ROW, _MERGE = (f"{_M[1:-1]} {x}" for x in ("c", "v", "t", "row", "mergeCell"))
 #: built-in number formats that show dates or times (fixed values)
 DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36, 45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58}
 
@@ -74,38 +76,63 @@ class Workbook:
             raise ValueError(f"{name}: {e}") from None
 
     def cells(self, path: str) -> tuple[dict, list]:
-        """({(row, col): cell}, merged regions), a row of the sheet's XML at a time."""
-        out, regions, last_row = {}, [], -1
+        """({(row, col): cell}, merged regions), from one pass over the sheet's XML that keeps nothing else."""
+        out: dict = {}
+        regions: list[tuple] = []
+        row = last_row = last_col = -1
+        here, kind, style, value, inline, text, open_text = (0, 0), "n", 0, None, [], [], False
+
+        def start(name, attributes):
+            nonlocal row, last_row, last_col, here, kind, style, value, inline, text, open_text
+            if name == _C:
+                ref = attributes.get("r")
+                here = place(ref) if ref else (row, last_col + 1)
+                last_col = here[1]
+                kind, style, value, inline = attributes.get("t", "n"), attributes.get("s"), None, []
+            elif name == _VALUE or name == _T:
+                text, open_text = [], True
+            elif name == _ROW:
+                r = attributes.get("r")
+                row = int(r) - 1 if r else last_row + 1
+                last_row, last_col = row, -1
+            elif name == _MERGE:
+                a, _, b = attributes.get("ref", "A1").partition(":")
+                if b:
+                    regions.append((*place(a), *place(b)))
+
+        def end(name):
+            nonlocal value, open_text
+            if name == _VALUE:
+                value, open_text = "".join(text), False
+            elif name == _T:
+                inline.append("".join(text))
+                open_text = False
+            elif name == _C:
+                got = self._cell(kind, style, value, inline)
+                if got is not None:
+                    out[here] = got
+
+        def chars(s):
+            if open_text:
+                text.append(s)
+
+        parser = expat.ParserCreate(namespace_separator=" ")
+        parser.buffer_text = True
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, chars
         try:
             with self.zip.open(path) as f:
-                for _, row in ElementTree.iterparse(f, ("end",)):
-                    if row.tag == f"{_M}mergeCell":
-                        a, _, b = row.get("ref", "A1").partition(":")
-                        if b:
-                            regions.append((*place(a), *place(b)))
-                    if row.tag != f"{_M}row":
-                        continue
-                    at = int(row.get("r")) - 1 if row.get("r") else last_row + 1
-                    last_row, last_col = at, -1
-                    for c in row:
-                        if c.tag != f"{_M}c":
-                            continue
-                        ref = c.get("r")
-                        r, col = place(ref) if ref else (at, last_col + 1)
-                        last_col = col
-                        got = self._cell(c)
-                        if got is not None:
-                            out[r, col] = got
-                    row.clear()
-        except (KeyError, ElementTree.ParseError, zipfile.BadZipFile, RuntimeError) as e:
+                parser.ParseFile(f)
+        except (KeyError, expat.ExpatError, zipfile.BadZipFile, RuntimeError) as e:
             raise ValueError(f"{path}: {e}") from None
         return out, regions
 
-    def _cell(self, c):
-        kind = c.get("t", "n")
-        v = next((x.text or "" for x in c if x.tag == _V), None)
+    def _cell(self, kind: str, style: str | None, v: str | None, inline: list[str]):
+        if kind == "n" and v is not None:
+            if style is not None and (i := int(style)) < len(self.dates) and self.dates[i]:
+                return "text", moment(float(v), self.epoch_1904)
+            return "float", float(v)
         if kind == "inlineStr":
-            return _text("".join(t.text or "" for t in c.iter(f"{_M}t")))
+            return _text("".join(inline))
         if v is None:
             return None
         if kind == "s":
@@ -116,9 +143,6 @@ class Workbook:
             return _text(v) if kind == "str" else ("text", v)
         if kind == "d":
             return "text", v.replace("T", " ")
-        style = int(c.get("s", 0))
-        if style < len(self.dates) and self.dates[style]:
-            return "text", moment(float(v), self.epoch_1904)
         return "float", float(v)
 
 
