@@ -26,16 +26,23 @@ from grainworks.plans.model import Options, Outcome, ParseError, Report, Table
 OPEN_COST = 512 << 10
 
 
+_sessions: dict = {}
+
+
 def own_session(spark: SparkSession) -> SparkSession:
     """A session with the settings of ``spark`` that nobody changes later: a scan made in it has the same partitions whenever
-    it runs, which row numbers by partition rely on."""
-    child = spark.newSession()
-    for k, v in spark.conf.getAll.items():
-        if k.startswith("spark.sql.") and child.conf.isModifiable(k):
-            child.conf.set(k, v)
-    child.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
-    child.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)  # longer methods are never compiled by the JVM: wide tables are split instead
-    return child
+    it runs, which row numbers by partition rely on.  There is one for each set of settings."""
+    settings = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.")}
+    key = (spark.sparkContext.applicationId, OPEN_COST, tuple(sorted(settings.items())))
+    if key not in _sessions:
+        child = spark.newSession()
+        for k, v in settings.items():
+            if child.conf.isModifiable(k):
+                child.conf.set(k, v)
+        child.conf.set("spark.sql.files.openCostInBytes", OPEN_COST)
+        child.conf.set("spark.sql.codegen.hugeMethodLimit", 8000)  # longer methods are never compiled by the JVM: wide tables are split instead
+        _sessions[key] = child
+    return _sessions[key]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

@@ -33,8 +33,10 @@ def fitted(fields, width: int):
 
 
 def rendered(df: DataFrame, delimiter: str, width: int) -> DataFrame:
-    fields = df.withColumn("f", tokens(F.col("value"), delimiter))
-    return fields.select(F.concat_ws(",", *[quoted(c, width == 1) for c in fitted(F.col("f"), width)]).alias("value"), F.size("f").alias("n"))
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    odd = F.col("value").contains('"') & (quotes % 2 == 1)
+    fields = df.select(tokens(F.col("value"), delimiter).alias("f"), odd.alias("odd"))
+    return fields.select(F.concat_ws(",", *[quoted(c, width == 1) for c in fitted(F.col("f"), width)]).alias("value"), F.size("f").alias("n"), "odd")
 
 
 def stream_clean(spark: SparkSession, path: str, output: str, options: dict | None = None) -> Report:
@@ -61,20 +63,22 @@ def stream_clean(spark: SparkSession, path: str, output: str, options: dict | No
     has_header = options.flag("has_header", True)
     width = len(start[0])
     ids = lines(spark, path).withColumn("id", F.monotonically_increasing_id()).where("value <> ''")
-    first = ids.limit(1).first()["id"]
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    data = ids.where(F.col("id") > first) if has_header else ids
+    first = ids.limit(1).first()
+    if first["value"].count('"') % 2:
+        return _records(path, output, delimiter, width, has_header, report)
+    data = ids.where(F.col("id") > first["id"]) if has_header else ids
     rows, misfit, odd = F.count("*"), F.count_if(F.col("n") != width), F.count_if(F.col("odd"))
-    # the counts come from the write itself
+    # the counts come from the write itself; a quoted line break shows in them as an odd number of quotes
     from pyspark.sql import Observation
 
     seen = Observation(uuid.uuid4().hex)
-    made = rendered(data.select("value"), delimiter, width).withColumn("odd", F.lit(False))
+    made = rendered(data.select("value"), delimiter, width)
     made = made.observe(seen, rows.alias("rows"), misfit.alias("misfit"), odd.alias("odd"))
-    if ids.where(quotes % 2 == 1).limit(1).count():
-        return _records(path, output, delimiter, width, has_header, report)
     folder = f"{output}.parts-{uuid.uuid4().hex[:8]}"
     made.select("value").write.text(folder)
+    if seen.get["odd"]:
+        shutil.rmtree(folder)
+        return _records(path, output, delimiter, width, has_header, report)
     with open(output, "wb") as out:
         if has_header:
             out.write((csv_header([h.strip() for h in start[0]]) + "\n").encode())

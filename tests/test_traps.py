@@ -161,3 +161,12 @@ def test_row_numbers_beyond_the_bases_of_an_expression(spark, monkeypatch):
     got, _ = shape.with_row(df)
     assert n == df.count() and want.orderBy("_row").collect() == got.orderBy("_row").collect()
     assert [r["_row"] for r in got.orderBy("id").collect()] == list(range(n))
+
+
+def test_streaming_with_quoted_line_breaks(spark, tmp_path):
+    text = 'a,b\n1,"x\ny ""z"""\n2,w,v\n3,"u\n\nt"\n'
+    r = pipeline.clean(spark, put(tmp_path / "a.csv", text), str(tmp_path / "o.csv"), stream=True)
+    assert "\n".join(lines(tmp_path / "o.csv")) == 'a,b\n1,"x\ny ""z"""\n2,w\n3,"u\n\nt"\n' and r.report.rows_in == 3
+    assert sorted(os.listdir(tmp_path)) == ["a.csv", "o.csv"]
+    r = pipeline.clean(spark, put(tmp_path / "h.csv", '"a\nb",c\n1,2\n'), str(tmp_path / "o.csv"), stream=True)
+    assert "\n".join(lines(tmp_path / "o.csv")) == '"a\nb",c\n1,2\n' and r.report.rows_in == 1
