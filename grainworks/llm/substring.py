@@ -3,20 +3,22 @@
 A window is ``K`` consecutive words of one document; a word goes if a window that covers it also starts
 in a document with a smaller id.  The minimiser of a window is the smallest hash among its M-word runs.
 
-1. *Heat.*  Every partition counts its windows by minimiser slot (a fixed number of slots).  Slots that
-   hold more than a quarter of a bucket's share somewhere are hot; their set is at most one bit a slot,
-   so what the driver sends out is bounded by a constant, and every task agrees on it.
-2. *Scatter.*  Consecutive windows with one minimiser (a super-k-mer) travel as one packed string of their
-   words to the minimiser's bucket, many strings to one compressed block.  Windows of hot slots travel as
-   rows of their own (a 128-bit digest of their words) that no bucket has to hold together.
-3. *Count.*  A bucket sorts its windows by hash, confirms equal ones on their words, and returns the ranges
-   of words that are covered by windows seen under a smaller id.  Hot windows pass through and are
-   settled by an aggregate with map-side combining and a join whose skewed partitions Spark splits.
+1. *Heat.*  Windows are counted by minimiser slot.  A partition reports the slots that hold many of its windows; those
+   with more than a quarter of a bucket's share in all are hot.  There are at most four for each bucket, and their set is
+   sent out as one bit a slot, 2 ** MOST_BITS bits at most; every task agrees on it.
+2. *Scatter.*  Consecutive windows with one minimiser (a super-k-mer) travel as one packed string of their words to the
+   minimiser's bucket, many strings to one compressed block.  Beyond ONE_LEVEL buckets they go to groups of buckets first
+   and from there to their own, so that blocks stay large.  Windows of hot slots travel as rows of their own (a 128-bit
+   digest of their words) that no bucket has to hold together.
+3. *Count.*  A bucket sorts its windows by hash, confirms equal ones on their words, and returns the ranges of words that
+   are covered by windows seen under a smaller id.  Hot windows pass through and are settled by an aggregate with map-side
+   combining and a join whose skewed partitions Spark splits.
 4. *Cut.*  The ranges of a document meet its text again by ``doc_id``.
 
 Defined results: a null or empty text has no words; texts under 13 words lose nothing; rows that share an
 id are taken as repeats of one document and get the same result; rows with a null id are returned with
-nothing removed; an empty table gives an empty table; extra columns are ignored.
+nothing removed; an empty table gives an empty table; extra columns are ignored by ``report`` and kept by
+``remove`` whatever their names.
 """
 
 from __future__ import annotations
@@ -29,11 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainworks.llm.frames import cut, parts
+from grainworks.llm.frames import cut, free, map_rows, parts
 from grainworks.llm.text import Words, bytes_of, chained, mix, slices
 
 K, M = 13, 4
-SLOT_BITS = 16
+_SALT = np.uint64(0x5851F42D4C957F2D)
+SLOT_BITS, MOST_BITS = 16, 24
+#: buckets that a task writes to directly
+ONE_LEVEL = 4096
+#: windows of one slot that a partition need not report: less than a bucket's worth even over 100,000 partitions
+FEW = 8
 #: compressed input per bucket; a bucket is sorted in one task's memory, at about twenty times this size
 BUCKET_BYTES = 5 << 20
 #: packed bytes that a task gathers before it sends them on
@@ -73,6 +80,15 @@ def joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), start, end
 
 
+def _slot(low: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(low) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
+    """By other bits than the slot's, so that there may be more buckets than slots."""
+    return (mix(low ^ _SALT) % np.uint64(buckets)).astype(np.int64)
+
+
 def _heat(docs: DataFrame, buckets: int, bits: int, k: int, m: int) -> np.ndarray:
     slots = 1 << bits
 
@@ -82,20 +98,24 @@ def _heat(docs: DataFrame, buckets: int, bits: int, k: int, m: int) -> np.ndarra
             for part in slices(batch, "text"):
                 words = Words(*bytes_of(part.column(1)))
                 _, low = minimisers(words, words.hashes(), k, m)
-                total += np.bincount((mix(low) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
-        hot = np.flatnonzero(total > max(256, 0.25 * total.sum() / buckets))
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int64())], names=["slot"])
+                total += np.bincount(_slot(low, slots), minlength=slots)
+        some = np.flatnonzero(total > max(FEW, 0.125 * total.sum() / buckets))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(total[some], total.sum()), pa.int64())], names=["slot", "n"])
 
+    counts = cut(docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
+    every = counts.where("slot < 0").first()
     out = np.zeros(slots, bool)
-    out[[r.slot for r in docs.mapInArrow(count, "slot long").distinct().collect()]] = True
+    if every is not None:
+        hot = counts.where(f"slot >= 0 and n > {0.25 * every['n'] / buckets}").select("slot").toArrow()  # at most four a bucket
+        out[hot.column("slot").to_numpy()] = True
     return out
 
 
 class _Blocks:
-    """Super-k-mers gathered by bucket, and hot windows."""
+    """Super-k-mers gathered by bucket (in ``groups`` of buckets if those are fewer), and hot windows."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size, self.cold, self.hot = buckets, 0, [], []
+    def __init__(self, buckets: int, groups: int):
+        self.buckets, self.groups, self.size, self.cold, self.hot = buckets, groups, 0, [], []
 
     def add(self, bucket, doc, start, windows, packed: list[bytes]) -> None:
         self.cold.append((bucket, doc, start, windows, packed))
@@ -110,38 +130,40 @@ class _Blocks:
         codec = pa.Codec("zstd", compression_level=3)
         buckets, blocks = [], []
 
-        def put(bucket, kind, doc, start, windows, body):
-            raw = np.array([kind, len(doc)], np.int64).tobytes() + doc.astype(np.int64).tobytes() + start.astype(np.int32).tobytes() + windows.astype(np.int32).tobytes() + body
-            buckets.append(bucket)
+        def put(to, kind, doc, start, windows, own, body):
+            raw = np.array([kind, len(doc)], np.int64).tobytes() + doc.astype(np.int64).tobytes() + start.astype(np.int32).tobytes() + windows.astype(np.int32).tobytes() + own.astype(np.int32).tobytes() + body
+            buckets.append(to)
             blocks.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
 
         if self.cold:
             bucket, doc, start, windows = (np.concatenate([c[i] for c in self.cold]) for i in range(4))
             packed = [x for c in self.cold for x in c[4]]
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+            group = bucket % self.groups
+            order = np.argsort(group, kind="stable")
+            edges = np.searchsorted(group[order], np.arange(self.groups + 1))
             for b in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[b] : edges[b + 1]]
-                put(b, 0, doc[at], start[at], windows[at], b"\n".join([packed[i] for i in at.tolist()]))
+                # buckets need no mention where a group is one of them
+                put(b, 0, doc[at], start[at], windows[at], bucket[at] if self.groups < self.buckets else np.zeros(0), b"\n".join([packed[i] for i in at.tolist()]))
         if self.hot:
             doc, start = (np.concatenate([h[i] for h in self.hot]) for i in range(2))
             digest = b"".join([x for h in self.hot for x in h[2]])
-            each = max(1, -(-len(doc) // self.buckets), 20_000)  # in runs dealt evenly over the buckets
+            each = max(1, -(-len(doc) // self.groups), 20_000)  # in runs dealt evenly over the buckets
             for i in range(0, len(doc), each):
-                put((salt + i // each) % self.buckets, 1, doc[i : i + each], start[i : i + each], np.zeros(0), digest[16 * i : 16 * (i + each)])
-        self.__init__(self.buckets)
+                put((salt + i // each) % self.groups, 1, doc[i : i + each], start[i : i + each], np.zeros(0), np.zeros(0), digest[16 * i : 16 * (i + each)])
+        self.__init__(self.buckets, self.groups)
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
 
-def _scatter(hot: np.ndarray, buckets: int, k: int, m: int):
+def _scatter(hot: np.ndarray, buckets: int, groups: int, k: int, m: int):
     slots = len(hot)
 
     def run(batches):
         from pyspark import TaskContext
 
         salt = TaskContext.get().partitionId() * 7919
-        held = _Blocks(buckets)
+        held = _Blocks(buckets, groups)
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(*bytes_of(part.column(1)))
@@ -150,20 +172,19 @@ def _scatter(hot: np.ndarray, buckets: int, k: int, m: int):
                 if not len(at):
                     continue
                 ids = np.asarray(part.column(0).to_numpy(zero_copy_only=False), np.int64)
-                slot = (mix(low) & np.uint64(slots - 1)).astype(np.int64)
                 text, begin, end = joined(words)
-                is_hot = hot[slot]
+                is_hot = hot[_slot(low, slots)]
                 if is_hot.any():
                     w = at[is_hot]
                     digest = [xxhash.xxh3_128_digest(text[a:b]) for a, b in zip(begin[w].tolist(), end[w + k - 1].tolist())]
                     held.add_hot(ids[words.doc[w]], w - words.first[words.doc[w]], digest)
-                    at, low, slot = at[~is_hot], low[~is_hot], slot[~is_hot]
+                    at, low = at[~is_hot], low[~is_hot]
                 if len(at):
                     new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (low[1:] != low[:-1])]))
                     first, last = at[new], at[np.append(new[1:], len(at)) - 1]
                     row = words.doc[first]
                     packed = [text[a:b] for a, b in zip(begin[first].tolist(), end[last + k - 1].tolist())]
-                    held.add(slot[new] % buckets, ids[row], first - words.first[row], last - first + 1, packed)
+                    held.add(_bucket(low[new], buckets), ids[row], first - words.first[row], last - first + 1, packed)
                 if held.size > HELD_BYTES:
                     yield from held.flush(salt)
                     salt += 1
@@ -228,19 +249,52 @@ def _ranges(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, text: bytes
     return owner[gone[new]], place[new], place[last] + k
 
 
+def _opened(batches, grouped: bool):
+    """(kind, doc, start, windows, bucket, body) of every block."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for block in batch.column(1):
+            block = block.as_py()
+            raw = codec.decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
+            kind, n = np.frombuffer(raw, np.int64, 2).tolist()
+            doc, start, at = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.int32, n, 16 + 8 * n), 16 + 12 * n
+            windows = bucket = np.zeros(0, np.int32)
+            if not kind:
+                windows, at = np.frombuffer(raw, np.int32, n, at), at + 4 * n
+                if grouped:
+                    bucket, at = np.frombuffer(raw, np.int32, n, at), at + 4 * n
+            yield kind, doc, start, windows, bucket, raw[at:]
+
+
+def _split(buckets: int):
+    """The blocks of a group of buckets, block by block for its buckets."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        salt, held = TaskContext.get().partitionId() * 7919, _Blocks(buckets, buckets)
+        for kind, doc, start, windows, bucket, body in _opened(batches, True):
+            if kind:
+                held.add_hot(doc, start, [body[i : i + 16] for i in range(0, len(body), 16)])
+            else:
+                held.add(bucket, doc, start, windows, body.split(b"\n"))
+            if held.size > HELD_BYTES:
+                yield from held.flush(salt)
+                salt += 1
+        yield from held.flush(salt)
+
+    return run
+
+
 def _count(k: int):
     def run(batches):
-        cold, codec = [], pa.Codec("zstd")
-        for batch in batches:
-            for block in batch.column(1).to_pylist():
-                raw = codec.decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
-                kind, n = np.frombuffer(raw, np.int64, 2).tolist()
-                doc, start = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.int32, n, 16 + 8 * n)
-                if kind:
-                    digest = pa.Array.from_buffers(pa.binary(16), n, [None, pa.py_buffer(raw[16 + 12 * n :])]).cast(pa.binary())
-                    yield _out(doc, start, start, digest)
-                else:
-                    cold.append((doc, start, np.frombuffer(raw, np.int32, n, 16 + 12 * n), raw[16 + 16 * n :]))
+        cold = []
+        for kind, doc, start, windows, _, body in _opened(batches, False):
+            if kind:
+                digest = pa.Array.from_buffers(pa.binary(16), len(doc), [None, pa.py_buffer(body)]).cast(pa.binary())
+                yield _out(doc, start, start, digest)
+            else:
+                cold.append((doc, start, windows, body))
         if cold:
             doc, start, windows = (np.concatenate([c[i] for c in cold]).astype(np.int64) for i in range(3))
             text = b"\n".join([c[3] for c in cold])
@@ -259,9 +313,12 @@ def removals(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int =
     """(id, ranges): the word ranges to remove from each document that loses any."""
     slim = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text")).where("id is not null")
     buckets = parts(docs, text, BUCKET_BYTES)
-    bits = max(SLOT_BITS, (64 * buckets - 1).bit_length())
+    bits = min(MOST_BITS, max(SLOT_BITS, (64 * buckets - 1).bit_length()))
     hot = _heat(slim, buckets, bits, k, m)
-    sent = slim.mapInArrow(_scatter(hot, buckets, k, m), "bucket int, block binary").repartitionById(buckets, "bucket")
+    groups = buckets if buckets <= ONE_LEVEL else int(np.ceil(buckets**0.5))
+    sent = slim.mapInArrow(_scatter(hot, buckets, groups, k, m), "bucket int, block binary").repartitionById(groups, "bucket")
+    if groups < buckets:
+        sent = sent.mapInArrow(_split(buckets), "bucket int, block binary").repartitionById(buckets, "bucket")
     found = cut(sent.mapInArrow(_count(k), "id long, start int, stop int, digest binary"))
     rows = found.where("digest is null").select("id", "start", "stop")
     if hot.any():
@@ -313,30 +370,28 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K)
 
 def remove(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K) -> DataFrame:
     """``docs``, all columns, with removed words (and the white space after them) cut out of ``text``."""
-    gone = removals(docs, text, key, k).withColumnRenamed("id", "__id").withColumnRenamed("ranges", "__ranges")
-    held = docs.join(gone, docs[key].cast("long") == F.col("__id"), "left").drop("__id")
-    i = docs.columns.index(text)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, text):
-                col, ranges = part.column(i), part.column(part.num_columns - 1)
-                if ranges.null_count < len(ranges):
-                    words = Words(*bytes_of(col))
-                    lost = _gone(words, ranges)
-                    raw, new = words.data.tobytes(), []
-                    for r in range(words.rows):
-                        a, b = int(words.off[r]), int(words.off[r + 1])
-                        p, q = int(words.first[r]), int(words.first[r + 1])
-                        mine = lost[p:q]
-                        if mine.any():
-                            turn = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
-                            edge = np.append(words.start[p:q], b)[turn]
-                            bounds = [a, *edge.tolist(), b]
-                            new.append(b"".join([raw[x:y] for x, y in zip(bounds[::2], bounds[1::2])]).decode())
-                        else:
-                            new.append(raw[a:b].decode() if col[r].is_valid else None)
-                    part = part.set_column(i, part.schema.field(i), pa.array(new, col.type))
-                yield part.select(list(range(part.num_columns - 1)))
-
-    return held.mapInArrow(run, docs.schema)
+    id_, ranges_ = free("removal_id", docs.columns), free("ranges", docs.columns)
+    gone = removals(docs, text, key, k).withColumnRenamed("id", id_).withColumnRenamed("ranges", ranges_)
+    held = docs.join(gone, docs[key].cast("long") == F.col(id_), "left").drop(id_)
+
+    def run(part, at):
+        col, ranges = part.column(at), part.column(part.num_columns - 1)
+        if ranges.null_count == len(ranges):
+            return part
+        words = Words(*bytes_of(col))
+        lost = _gone(words, ranges)
+        raw, new = words.data.tobytes(), []
+        for r in range(words.rows):
+            a, b = int(words.off[r]), int(words.off[r + 1])
+            p, q = int(words.first[r]), int(words.first[r + 1])
+            mine = lost[p:q]
+            if mine.any():
+                turn = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0))
+                edge = np.append(words.start[p:q], b)[turn]
+                bounds = [a, *edge.tolist(), b]
+                new.append(b"".join([raw[x:y] for x, y in zip(bounds[::2], bounds[1::2])]).decode())
+            else:
+                new.append(raw[a:b].decode() if col[r].is_valid else None)
+        return part.set_column(at, part.schema.field(at), pa.array(new, col.type))
+
+    return map_rows(held, text, run).drop(ranges_)
