@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the
 next one's ``docs``.  All but the last return the columns of ``documents``; the last returns one row for each
 piece of a document with its place in a training sequence.
+
+Defined results: a null text counts as empty, which the quality rules reject; rows without an id are judged, cut and
+packed one by one and are nobody's copy; of rows that share an id and are near copies of an earlier document all go; ties go to
+the smallest id; an empty table gives an empty table; extra columns of any name go along to the packing stage.  Texts
+are handled in slices of bounded size, so that one very long text costs its own size and no more.
 """
 
 from __future__ import annotations
