@@ -6,9 +6,11 @@ takes the best-scored adjacent merge, leftmost first; a candidate is skipped if
 document id, chunk's place in the document, position, merged piece) falls under the dropout rate.  So every
 occurrence of a word is cut by itself, and every run repeats it exactly.
 
-The agenda runs over all chunks of a slice at the same time in numpy, one merge of each chunk a round; very
-long chunks use a heap.  Characters outside the
-vocabulary, the visible space character among them, become byte pieces, so decoding is lossless.
+The agenda runs over all chunks of a slice at the same time in numpy, one merge of each chunk a round; very long
+chunks use a heap.  The merges of a chunk without dropout are found once and kept: an occurrence of which the hash
+drops none of these merges is cut in the same way, since a candidate that was never taken is not missed; all others
+run the agenda by themselves.  Characters outside the vocabulary, the visible space character among them, become byte
+pieces, so decoding is lossless.
 
 Defined results: a null or empty text has no pieces and decodes to an empty text; repeated rows give equal
 pieces; an empty table gives an empty table; extra columns are ignored.
@@ -23,12 +25,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from grainworks.llm.frames import map_slices
-from grainworks.llm.text import _M1, _M2, bytes_of, mix
+from grainworks.llm.text import _M1, _M2, bytes_of, mix, span_hashes
 
 DROPOUT, SEED = 0.1, 20
 SPACE = "▁"
 LONG_CHUNK = 256
 RANGE_BYTES = 1 << 20
+#: chunks whose merges without dropout are kept in a task (about 200 bytes each)
+KEPT_CHUNKS = 150_000
 _LOW = (1 << 64) - 1
 _NONE = np.int64(1) << np.int64(62)
 
@@ -147,8 +151,8 @@ def agenda(m: Model, symbols: list[int], key: int, rate: float) -> list[int]:
     return [x for x, g in zip(now, gone) if not g]
 
 
-def segment(m: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, sizes) after all merges, for many chunks at once."""
+def segment(m: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None, rate: float, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, sizes) after all merges, for many chunks at once; ``log`` gets the (chunk, place, piece) of every merge."""
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     chunk = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -180,6 +184,8 @@ def segment(m: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
         hit = np.flatnonzero(best == np.repeat(low, size))
         hit = hit[np.diff(chunk[hit], prepend=-1) != 0]  # the leftmost of equals
         symbols[hit] = best[hit] & 0xFFFFFFFF
+        if log is not None:
+            log.append((chunk[hit], place[hit], symbols[hit]))
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
         at = hit - np.arange(len(hit))
@@ -192,11 +198,85 @@ def segment(m: Model, symbols: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
     return symbols[order], np.bincount(chunk, minlength=len(sizes))
 
 
+class Ragged:
+    """Rows of different lengths in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes, self.starts = flat, sizes, np.cumsum(sizes) - sizes
+
+    def take(self, rows: np.ndarray) -> Ragged:
+        size = self.sizes[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return Ragged(self.flat[at], size)
+
+    def and_(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.sizes, other.sizes]))
+
+
+class Plain:
+    """Chunks by their hash, ascending: their symbols, their pieces without dropout, and the merges that made those."""
+
+    def __init__(self, m: Model):
+        none = lambda: Ragged(np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.m, self.hashes, self.symbols, self.pieces, self.merges = m, np.zeros(0, np.uint64), none(), none(), none()
+
+    def rows(self, hashes: np.ndarray, chunks: Ragged) -> tuple[Plain, np.ndarray]:
+        """(chunks that hold all of these, the row of each); a chunk whose hash is another one's has row -1."""
+        wanted, first = np.unique(hashes, return_index=True)
+        new = first[~np.isin(wanted, self.hashes, assume_unique=True)]
+        known = self if not len(new) else self._with(hashes[new], chunks.take(new))
+        if len(known.hashes) <= KEPT_CHUNKS:
+            self.__dict__.update(known.__dict__)
+        row = np.searchsorted(known.hashes, hashes)
+        same = np.flatnonzero(known.symbols.sizes[row] == chunks.sizes)
+        held, own = known.symbols.take(row[same]), chunks.take(same)
+        wrong = np.unique(np.repeat(same, own.sizes)[held.flat != own.flat])
+        out = np.full(len(row), -1)
+        out[same] = row[same]
+        out[wrong] = -1
+        return known, out
+
+    def _with(self, hashes: np.ndarray, chunks: Ragged) -> Plain:
+        log: list = []
+        pieces = Ragged(*segment(self.m, chunks.flat, chunks.sizes, None, 0.0, log))
+        chunk, place, piece = (np.concatenate([x[i] for x in log]) if log else np.zeros(0, np.int64) for i in range(3))
+        order = np.argsort(chunk, kind="stable")
+        merges = Ragged((place << 20 | piece)[order], np.bincount(chunk, minlength=len(hashes)))
+        out = Plain(self.m)
+        by_hash = np.argsort(np.concatenate([self.hashes, hashes]))
+        out.hashes = np.concatenate([self.hashes, hashes])[by_hash]
+        for name, more in (("symbols", chunks), ("pieces", pieces), ("merges", merges)):
+            setattr(out, name, getattr(self, name).and_(more).take(by_hash))
+        return out
+
+
 class Encoder:
     """Encodes slices, every occurrence of a chunk by itself if there is dropout."""
 
     def __init__(self, m: Model, rate: float, seed: int):
-        self.m, self.rate, self.seed = m, rate, seed
+        self.m, self.rate, self.seed, self.plain = m, rate, seed, Plain(m)
+
+    def _short(self, hashes: np.ndarray, chunks: Ragged, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, sizes) of short chunks after all merges."""
+        if not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known, row = self.plain.rows(hashes, chunks)
+        alone = row < 0
+        merges = known.merges.take(np.maximum(row, 0))
+        if self.rate:
+            of = np.repeat(np.arange(len(row)), merges.sizes)
+            lost = _skipped(keys[of], merges.flat >> 20, merges.flat & 0xFFFFF, self.rate)
+            alone[of[lost]] = True
+        out = known.pieces.take(np.maximum(row, 0))
+        if not alone.any():
+            return out.flat, out.sizes
+        apart = np.flatnonzero(alone)
+        own = chunks.take(apart)
+        done = Ragged(*segment(self.m, own.flat, own.sizes, keys[apart], self.rate))
+        at = np.arange(len(row))
+        at[apart] = len(row) + np.arange(len(apart))
+        both = out.and_(done).take(at)
+        return both.flat, both.sizes
 
     def encode(self, data: np.ndarray, off: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, row bounds) of texts that already have their leading space; ``docs`` are the rows' ids."""
@@ -230,7 +310,9 @@ class Encoder:
         symbols[symbols < 0] = -1 - points[symbols < 0]
         short = sizes <= LONG_CHUNK
         inside = np.repeat(short, sizes)
-        own, count = segment(m, symbols[inside], sizes[short], keys[short], self.rate)
+        stop = np.cumsum(size)
+        hashes = span_hashes(data, stop - size, stop)
+        own, count = self._short(hashes[short], Ragged(symbols[inside], sizes[short]), keys[short])
         counts = np.zeros(len(sizes), np.int64)
         counts[short] = count
         parts = [own]

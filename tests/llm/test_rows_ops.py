@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -105,29 +106,57 @@ def test_embeddings_of_an_empty_table(spark):
     assert groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_pipeline_matches_its_stages_by_brute_force(spark, docs, corpus, tmp_path):
+def cut_text(text, gone):
+    """``text`` without the words at places ``gone`` and the white space after them."""
+    places = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)] + [len(text)]
+    return text[: places[0]] + "".join(text[a:b] for i, (a, b) in enumerate(zip(places, places[1:])) if i not in gone)
+
+
+def mask_text(text):
+    """Base and entropy spans, overlapping ones as one, as the mark."""
+    from tests.llm.test_text_ops import base_spans, entropy_spans
+
+    found = sorted(tuple(map(int, x.split(":")[1:])) for x in base_spans(text) + entropy_spans(text))
+    joined = []
+    for a, b in found:
+        if joined and a < joined[-1][1]:
+            joined[-1][1] = max(b, joined[-1][1])
+        else:
+            joined.append([a, b])
+    out, at = "", 0
+    for a, b in joined:
+        out, at = out + text[at:a] + "[secret]", b
+    return out + text[at:]
+
+
+def test_pipeline_matches_brute_force(spark, docs, corpus, tmp_path):
+    """Every stage by itself in Python: what stays, what is cut, what is masked, all tokens, all sequences."""
     import corpus_pipeline
-    from tests.llm.test_text_ops import check_packing, near_groups, removed, token_ids
-    from grainworks.llm.quality import measure
-    from grainworks.llm.secrets import redact
-
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    good = {r.doc_id for r in measure(docs).where("kept").collect()}
-    kept = [(i, t) for i, t in corpus if i in good]
+    from tests.llm.test_text_ops import check_packing, near_groups, quality_verdict, removed, token_ids
+
+    secret = "my key is q7Zk9LmX2vB8nT4rY6wP1sDf3 and password = hunter22 here, one two three four five six seven eight"
+    corpus = [*corpus, (900, secret), (901, None), (902, dict(corpus)[60] + "\n" + secret.replace("one", "two"))]
+    rows = [(i, t, "en", f"s{i % 3}", len(t or ""), "x") for i, t in corpus] + [(None, secret, None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, gone string").repartition(3)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = [(i, t) for i, t in corpus if quality_verdict(t or "")]
     first = near_groups(kept)
     kept = [(i, t) for i, t in kept if first[i][1] == i]
-    cut = []
-    for i, (w, gone) in removed(kept).items():
-        text = dict(kept)[i]
-        cut.append((i, text if not gone else None, [x for j, x in enumerate(w) if j not in gone]))
-    assert {r.doc_id for r in rows} == {i for i, _, _ in cut}
-    whole = {i: t for i, t, _ in cut if t is not None}
-    masked = {r.doc_id: r.text for r in redact(spark.createDataFrame(list(whole.items()), "doc_id long, text string")).collect()}
-    ids = dict(zip(masked, token_ids(list(masked.values()))))
-    own = [r for r in rows if r.doc_id in ids]
-    for i in ids:
-        assert sum(r.length for r in own if r.doc_id == i) == len(ids[i])
+    texts = {i: mask_text(cut_text(dict(kept)[i], gone)) for i, (_, gone) in removed(kept).items()}
+    assert any("[secret]" in t for t in texts.values()) and any(texts[i] != t for i, t in kept)
+    ids = dict(zip(texts, token_ids(list(texts.values()))))
+    own = [r for r in got if r.doc_id is not None]
+    assert {r.doc_id for r in own} == set(ids) and len(got) == len(own) + 1  # the row without an id goes through by itself
+    check_packing(own + [r for r in got if r.doc_id is None], ids | {None: token_ids([mask_text(secret)])[0]})
+    assert len({r.sequence_id for r in got}) <= sum(r.length for r in got) // 1024 + 3
+
+
+def test_pipeline_of_an_empty_table(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stages_name_the_columns(spark, docs):

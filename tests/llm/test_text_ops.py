@@ -38,20 +38,55 @@ def removed(corpus, k=13):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_substring_dedup_matches_brute_force(spark, docs, corpus, monkeypatch, hot):
+@pytest.mark.parametrize("hot,levels", [(False, 1), (True, 1), (True, 2)])
+def test_substring_dedup_matches_brute_force(spark, docs, corpus, monkeypatch, hot, levels):
     import numpy as np
 
     from grainworks.llm import substring
 
     if hot:
         monkeypatch.setattr(substring, "_heat", lambda *a: np.arange(1 << a[2]) % 2 == 0)
+    if levels == 2:
+        monkeypatch.setattr(substring, "ONE_LEVEL", 2)
+        monkeypatch.setattr(substring, "parts", lambda *a: 23)
+        monkeypatch.setattr(substring, "HELD_BYTES", 5000)
     got = by_id(substring.report(docs))
     for i, (w, gone) in removed(corpus).items():
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_heat_of_slots_over_all_partitions(docs, corpus, monkeypatch):
+    """A slot is hot by its windows in all partitions together."""
+    from grainworks.llm import substring
+
+    monkeypatch.setattr(substring, "FEW", 0)
+    slim = docs.select(F.col("doc_id").alias("id"), "text")
+    import numpy as np
+    import pyarrow as pa
+
+    from grainworks.llm.text import Words, bytes_of
+
+    buckets = 40
+    words = Words(*bytes_of(pa.array([t for _, t in corpus], pa.large_string())))
+    _, low = substring.minimisers(words, words.hashes(), 13, 4)
+    total = np.bincount(substring._slot(low, 1 << 10), minlength=1 << 10)
+    want = total > 0.25 * total.sum() / buckets
+    got = substring._heat(slim, buckets, 10, 13, 4)
+    assert not (got & ~want).any() and want.sum() > 0 and (total * (want & ~got)).max(initial=0) <= 0.25 * total.sum() / buckets * 2
+
+
+def test_stages_keep_columns_that_clash(spark):
+    from grainworks.llm import minhash, quality, secrets, substring
+
+    t = " ".join(f"x{i}" for i in range(20))
+    rows = spark.createDataFrame([(1, t, *"abcdefgh"), (2, t, *"abcdefgh"), (None, None, *"abcdefgh")], "doc_id long, text string, gone string, ID string, ranges string, removal_id string, rep string, n string, key string, `a.b` string")
+    for f, n in ((minhash.keep_first, 2), (substring.remove, 3), (quality.keep, 2), (secrets.redact, 3)):
+        out = f(rows)
+        assert out.columns == rows.columns and out.count() == n, f
+        assert all(tuple(r)[2:] == tuple("abcdefgh") for r in out.collect())
+
+
 def test_substring_remove_keeps_columns_and_words(docs, corpus):
     from grainworks.llm.substring import remove
 
@@ -174,6 +209,32 @@ def test_quality_counts_match_brute_force(docs, corpus):
         assert not (r.kept and r.base_failed)
 
 
+def quality_verdict(t):
+    """The rules as stated: base counts, then shares of repeated n-grams and lines."""
+    from grainworks.llm.quality import LIMITS, LINE_LIMIT
+
+    w = words(t)
+    chars = sum(map(len, w))
+
+    def inside(n):
+        count = Counter(tuple(w[j : j + n]) for j in range(len(w) - n + 1))
+        return {p for j in range(len(w) - n + 1) if count[tuple(w[j : j + n])] > 1 for p in range(j, j + n)}
+
+    seen, again = set(), 0
+    for x in t.split("\n"):
+        if words(x):
+            again += len(x) * (x in seen)
+            seen.add(x)
+    return len(w) >= 10 and 100 * len(inside(5)) <= 20 * len(w) and all(sum(len(w[p]) for p in inside(n)) <= share * chars for n, share in LIMITS.items()) and again <= LINE_LIMIT * len(t)
+
+
+def test_quality_verdicts_match_brute_force(docs, corpus):
+    from grainworks.llm.quality import measure
+
+    got = by_id(measure(docs))
+    assert {i: got[i].kept for i, _ in corpus} == {i: quality_verdict(t or "") for i, t in corpus}
+
+
 def test_quality_keeps_columns(docs):
     from grainworks.llm.quality import keep, measure
 

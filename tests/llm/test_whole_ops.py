@@ -20,6 +20,25 @@ def test_dropout_cuts_every_occurrence_by_itself(spark, monkeypatch):
     assert pieces.encode_texts(texts[1:2], 0.3, first=6) == want[1:2]
 
 
+def test_kept_merges_change_nothing(monkeypatch):
+    """The heap decides every chunk by itself; chunks that share a hash, or that are no longer kept, are cut as it does."""
+    import random
+
+    import numpy as np
+
+    from grainworks.llm import pieces
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice(["inter", "nation", "al", "ize", "x", "é", "▁", "th", "e"]) for _ in range(rng.randrange(1, 5))) for _ in range(200)) for _ in range(12)]
+    with monkeypatch.context() as m:
+        m.setattr(pieces, "LONG_CHUNK", 0)
+        want = [pieces.encode_texts(texts, rate, first=3) for rate in (0.0, 0.1, 0.5, 1.0)]
+    assert [pieces.encode_texts(texts, rate, first=3) for rate in (0.0, 0.1, 0.5, 1.0)] == want
+    for name, value in (("KEPT_CHUNKS", 0), ("RANGE_BYTES", 100), ("span_hashes", lambda data, a, b: (b - a).astype(np.uint64))):
+        monkeypatch.setattr(pieces, name, value)
+        assert [pieces.encode_texts(texts, rate, first=3) for rate in (0.0, 0.1, 0.5, 1.0)] == want
+
+
 def test_upper_case_hex_is_a_secret_and_a_known_digest_is_not(spark):
     import hashlib
     import random
