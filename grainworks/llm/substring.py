@@ -198,7 +198,8 @@ def _ranges(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, text: bytes
     data = np.frombuffer(text, np.uint8)
     lines = np.concatenate([[0], np.flatnonzero(data == 10) + 1, [len(data) + 1]]).astype(np.int64)
     total = int(windows.sum())
-    key, a, b = np.empty(total, np.uint64), np.empty(total, np.int64), np.empty(total, np.int64)
+    place_type = np.int32 if len(data) < 1 << 31 else np.int64
+    key, a, b = np.empty(total, np.uint64), np.empty(total, place_type), np.empty(total, place_type)
     n = i = 0
     while i < len(doc):  # hashes in slices: their working arrays are larger than the text
         j = max(i + 1, int(np.searchsorted(lines, lines[i] + (2 << 20), "right")) - 1)
@@ -210,10 +211,12 @@ def _ranges(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, text: bytes
         b[n : n + len(w)] = words.end[w + k - 1] + at
         n, i = n + len(w), j
     assert n == total
-    row = np.repeat(np.arange(len(doc)), windows)
+    row = np.repeat(np.arange(len(doc), dtype=np.int32), windows)
     owner = doc[row]
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
+    key = key[order]
+    same = key[1:] == key[:-1]
+    del key
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     size = np.diff(np.append(head, total))
     many = np.repeat(size > 1, size)
@@ -250,7 +253,7 @@ def _ranges(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, text: bytes
 
 
 def _opened(batches, grouped: bool):
-    """(kind, doc, start, windows, bucket, body) of every block."""
+    """(kind, doc, start, windows, bucket, body) of every block; all of them are views of its bytes."""
     codec = pa.Codec("zstd")
     for batch in batches:
         for block in batch.column(1):
@@ -263,7 +266,7 @@ def _opened(batches, grouped: bool):
                 windows, at = np.frombuffer(raw, np.int32, n, at), at + 4 * n
                 if grouped:
                     bucket, at = np.frombuffer(raw, np.int32, n, at), at + 4 * n
-            yield kind, doc, start, windows, bucket, raw[at:]
+            yield kind, doc, start, windows, bucket, memoryview(raw)[at:]
 
 
 def _split(buckets: int):
@@ -275,9 +278,9 @@ def _split(buckets: int):
         salt, held = TaskContext.get().partitionId() * 7919, _Blocks(buckets, buckets)
         for kind, doc, start, windows, bucket, body in _opened(batches, True):
             if kind:
-                held.add_hot(doc, start, [body[i : i + 16] for i in range(0, len(body), 16)])
+                held.add_hot(doc, start, [bytes(body[i : i + 16]) for i in range(0, len(body), 16)])
             else:
-                held.add(bucket, doc, start, windows, body.split(b"\n"))
+                held.add(bucket, doc, start, windows, bytes(body).split(b"\n"))
             if held.size > HELD_BYTES:
                 yield from held.flush(salt)
                 salt += 1
