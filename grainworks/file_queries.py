@@ -19,15 +19,39 @@ from grainworks.queries import _scratch, _t, query
 
 #: rows of one rendered binary file
 FILE_ROWS = 250
+#: rows of a rendered text file that one task sorts
+PART_ROWS = 250_000
 
 
 def written(spark: SparkSession, rows: DataFrame, name: str) -> str:
-    """A folder called ``name`` with one text file: ``value`` of ``rows`` in the order of ``k``."""
-    folder = f"{_scratch(spark)}/{uuid.uuid4().hex}/{name}"
-    rows.select("k", "value").coalesce(1).sortWithinPartitions("k").select("value").write.text(folder)
+    """A folder called ``name`` with one text file: ``value`` of ``rows`` in the order of ``k``.
+
+    Parts of about PART_ROWS rows are sorted and written by a task each; the driver appends their bytes to one file.
+    """
+    base = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    folder, n = f"{base}/{name}", max(1, -(-rows.count() // PART_ROWS))
+    rows = rows.select("k", "value")
+    dealt = rows.coalesce(1) if n == 1 else rows.repartitionByRange(n, "k")
+    dealt.sortWithinPartitions("k").select("value").write.text(folder if n == 1 else f"{base}/parts")
+    if n > 1:
+        joined(spark, f"{base}/parts", f"{folder}/part-00000.txt")
     return folder
 
 
+def joined(spark: SparkSession, folder: str, path: str) -> None:
+    """The part files of ``folder``, in the order of their names, as one file: a buffer of 1 MiB at a time, wherever Spark can write."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    at = hadoop.fs.Path(folder)
+    fs = at.getFileSystem(conf)
+    out = fs.create(hadoop.fs.Path(path))
+    for part in sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+        source = fs.open(part)
+        hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+        source.close()
+    out.close()
+    fs.delete(at, True)
+
+
 def rendered(rows: DataFrame, before: list[str] = (), after: list[str] = ()) -> DataFrame:
     """``rows`` (k, value) between fixed lines."""
     spark, n = rows.sparkSession, len(before)

@@ -1,6 +1,9 @@
 """Queries that have to cover their whole input, against brute force in Python."""
 
+import datetime
+
 import pytest
+from pyspark.sql import functions as F
 
 from grainworks import queries
 
@@ -55,3 +58,19 @@ def test_rollup_of_all_tables(spark):
     names = [x.removesuffix(".parquet") for x in os.listdir(d) if x.endswith(".parquet")]
     got = {r.name: r.rows_out for r in queries.report_rollup(spark, d).collect()}
     assert len(names) == 14 and got == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in names}
+
+
+@pytest.mark.parametrize("name", ["csv_read"])
+def test_rendered_files_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """No task sorts more than a part; the file, and so every row number, is the same."""
+    from grainworks import file_queries
+
+    orders = [(k, k % 7, "OFP"[k % 3], datetime.datetime(2024, 1, 1 + k % 28), f"{k % 5}-LOW") for k in range(3000)]
+    orders = orders[1::2] + orders[::2]
+    d = saved(spark, tmp_path, "orders", orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp, o_orderpriority string")
+    want = sorted(map(tuple, queries.QUERIES[name](spark, d).collect()))
+    monkeypatch.setattr(file_queries, "PART_ROWS", 400)
+    parts = []
+    monkeypatch.setattr(file_queries, "joined", lambda spark, folder, path, f=file_queries.joined: (parts.append(spark.read.text(folder).groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()), f(spark, folder, path)))
+    assert sorted(map(tuple, queries.QUERIES[name](spark, d).collect())) == want and len(want) == 3001
+    assert len(parts) == 1 and parts[0][0] > 5 and parts[0][1] < 1500
