@@ -60,7 +60,7 @@ def test_rollup_of_all_tables(spark):
     assert len(names) == 14 and got == {t: spark.read.parquet(f"{d}/{t}.parquet").count() for t in names}
 
 
-@pytest.mark.parametrize("name", ["csv_read", "csv_stream"])
+@pytest.mark.parametrize("name", ["csv_read", "csv_stream", "whitespace_read"])
 def test_rendered_files_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch, name):
     """No task sorts more than a part; the file, and so every row number, is the same."""
     from grainworks import file_queries
