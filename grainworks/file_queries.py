@@ -21,15 +21,18 @@ from grainworks.queries import _scratch, _t, query
 FILE_ROWS = 250
 #: rows of a rendered text file that one task sorts
 PART_ROWS = 250_000
+#: most parts: up to so many, Spark's shuffle writes rows straight to files (spark.shuffle.sort.bypassMergeThreshold); beyond, a map
+#: task sorts all rows of its split in memory
+MOST_PARTS = 200
 
 
 def written(spark: SparkSession, rows: DataFrame, name: str) -> str:
     """A folder called ``name`` with one text file: ``value`` of ``rows`` in the order of ``k``.
 
-    Parts of about PART_ROWS rows are sorted and written by a task each; the driver appends their bytes to one file.
+    Parts of about PART_ROWS rows (more where MOST_PARTS would not do) are sorted and written by a task each; the driver appends their bytes to one file.
     """
     base = f"{_scratch(spark)}/{uuid.uuid4().hex}"
-    folder, n = f"{base}/{name}", max(1, -(-rows.count() // PART_ROWS))
+    folder, n = f"{base}/{name}", min(MOST_PARTS, max(1, -(-rows.count() // PART_ROWS)))
     rows = rows.select("k", "value")
     dealt = rows.coalesce(1) if n == 1 else rows.repartitionByRange(n, "k")
     dealt.sortWithinPartitions("k").select("value").write.text(folder if n == 1 else f"{base}/parts")

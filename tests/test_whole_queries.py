@@ -74,3 +74,15 @@ def test_rendered_files_are_sorted_by_many_tasks(spark, tmp_path, monkeypatch, n
     monkeypatch.setattr(file_queries, "joined", lambda spark, folder, path, f=file_queries.joined: (parts.append(spark.read.text(folder).groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()), f(spark, folder, path)))
     assert sorted(map(tuple, queries.QUERIES[name](spark, d).collect())) == want and len(want) == 3001
     assert len(parts) == 1 and parts[0][0] > 5 and parts[0][1] < 1500
+
+
+def test_rendered_files_never_have_more_parts_than_shuffles_write_straight(spark, tmp_path, monkeypatch):
+    from grainworks import file_queries
+
+    monkeypatch.setattr(file_queries, "PART_ROWS", 2)
+    parts = []
+    monkeypatch.setattr(file_queries, "joined", lambda spark, folder, path, f=file_queries.joined: (parts.append(len([x for x in spark.read.text(folder).inputFiles()])), f(spark, folder, path)))
+    rows = spark.range(2000).selectExpr("1999 - id AS k", "CAST(1999 - id AS STRING) AS value")
+    folder = file_queries.written(spark, rows, "a.txt")
+    assert [r[0] for r in spark.read.text(folder).collect()] == [str(i) for i in range(2000)]
+    assert len(parts) == 1 and 100 < parts[0] <= 200
